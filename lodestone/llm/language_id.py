@@ -7,8 +7,8 @@ dictionary, and the language with the smallest sum is chosen. The margin is the
 sum is larger; below ``min_margin`` the operator's ``lang`` is null (rejected) while ``best`` still names the
 smallest.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the language that
-sorts first; languages with no sampled text are not learned; with none learned every text is ``und``. An empty table
+Defined results: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the language with
+the most documents, then to the one that sorts first; languages with no sampled text are not learned; with none learned every text is ``und``. An empty table
 gives an empty result, and repeated rows are classified each on their own.
 """
 
@@ -26,7 +26,7 @@ from . import common
 
 DICT_BYTES = 96 << 10
 PIECE = 2048
-LEVEL = 3
+LEVEL = 6
 DOCS_PER_LANG = 400
 MIN_MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
@@ -39,14 +39,14 @@ def held_out(col):
 
 
 def _plain(text: str) -> bytes:
-    return _OTHER.sub(" ", text.lower()).encode()
+    return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
 class LanguageModel:
     """Dictionaries by language; ``classify`` returns (best, score, margin) for a text."""
 
-    def __init__(self, dictionaries: dict[str, bytes]):
-        self.dictionaries = dict(sorted(dictionaries.items()))
+    def __init__(self, dictionaries: dict[str, bytes], counts: dict[str, int] | None = None):
+        self.dictionaries = dict(sorted(dictionaries.items(), key=lambda x: (-(counts or {}).get(x[0], 0), x[0])))
         self._compressors = None
 
     def __getstate__(self):
@@ -100,7 +100,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     for lang, texts in own.items():
         good = [t for i, t in enumerate(texts) if len(texts) < 8 or halves[i % 2].classify(t.decode(errors="ignore")[:passage])[0] == lang]
         clean[lang] = good if 2 * len(good) >= len(texts) else texts
-    return LanguageModel(_dictionaries(clean))
+    return LanguageModel(_dictionaries(clean), counts)
 
 
 def _dictionaries(passages: dict[str, list[bytes]]) -> dict[str, bytes]:
