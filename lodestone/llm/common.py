@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
+
 #: Broadcasts and driver-side tables are only made below this many bytes.
 BROADCAST_LIMIT = 64 << 20
 
@@ -89,7 +91,7 @@ def sparse_rows(sample: DataFrame, docs: DataFrame, key: str, text: str, feature
                     names=["_id", "_y", "idx", "val"],
                 )
 
-    out = rows.mapInArrow(run, "_id string, _y int, idx array<int>, val array<float>").toArrow()
+    out = map_arrow(rows, run, "_id string, _y int, idx array<int>, val array<float>").toArrow()
     return out.sort_by([("_id", "ascending"), ("_y", "ascending")])
 
 

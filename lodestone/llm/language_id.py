@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
+
 from . import common
 
 DICT_BYTES = 96 << 10
@@ -129,4 +131,4 @@ def identify(docs: DataFrame, model: LanguageModel, *, id_col="doc_id", text_col
                 names=[id_col, "lang", "best", "score", "margin"],
             )
 
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, lang string, best string, score double, margin double")
+    return map_arrow(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, lang string, best string, score double, margin double")

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import map_arrow
+
 from . import common
 from . import textkernel as tk
 
@@ -166,4 +168,4 @@ def assess(docs: DataFrame, model: QualityModel, *, id_col="doc_id", text_col="t
                 out["kept"] = ~out["base_failed"] & (out["score"] >= threshold)
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, out.values())], names=[id_col, *out])
 
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {BASE}, score double, kept boolean")
+    return map_arrow(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, {BASE}, score double, kept boolean")

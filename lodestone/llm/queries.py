@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, language_id, quality_rules, toxicity
+from . import chat, common, decontaminate, language_id, packing, quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,19 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs)
     got = language_id.identify(docs, model)
     return got.select("doc_id", F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("best").alias("lang_pred"), "score", "margin", F.col("lang").isNull().alias("rejected"))
+
+
+@_query("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.match(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id", "n_words", decontaminate.n_hit(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@_query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(common.read(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import map_arrow
+
 from . import common
 from . import textkernel as tk
 
@@ -120,4 +122,4 @@ def score(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", text_col="t
                 s = model.score(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return rows.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double, predicted int")
+    return map_arrow(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, score double, predicted int")
