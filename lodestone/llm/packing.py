@@ -29,7 +29,7 @@ from ..shipping import map_arrow
 from . import common
 
 CAPACITY = 4096
-UNIT = 16
+UNIT = 8
 END_ID = 2
 #: Distinct words whose ids a Python worker keeps; beyond it the cache starts anew.
 CACHE_WORDS = 400_000
