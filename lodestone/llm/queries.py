@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, language_id, line_dedup, packing, quality_rules, toxicity
+from . import chat, common, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -115,3 +115,8 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (W
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY r
 """
+
+
+@_query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(common.read(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
