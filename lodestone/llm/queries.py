@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, toxicity
+from . import chat, common, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -120,3 +120,16 @@ FROM m GROUP BY r
 @_query("op9_jaccard_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(common.read(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
+def document_site():
+    """documents has no address; its source serves as the host and its language as the path."""
+    return F.concat_ws("/", F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit("")))
+
+
+@_query("op2_quality_classifier")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, common.read(spark, sf_dir, "labels"))
+    got = quality_classifier.judged(docs.select("doc_id", "text", document_site().alias("site")), model, F.col("site"))
+    return got.select("doc_id", *[F.col(f"_ls_{c}").alias(c) for c in ("host", "path", "ratio", "host_rate", "path_rate", "score", "kept")])
