@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, toxicity
+from . import chat, common, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, common.read(spark, sf_dir, "labels"))
     got = quality_classifier.judged(docs.select("doc_id", "text", document_site().alias("site")), model, F.col("site"))
     return got.select("doc_id", *[F.col(f"_ls_{c}").alias(c) for c in ("host", "path", "ratio", "host_rate", "path_rate", "score", "kept")])
+
+
+@_query("op8_html_extraction")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.extract(common.read(spark, sf_dir, "pages"), carry=("url",))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
