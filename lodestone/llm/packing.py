@@ -17,7 +17,11 @@ each; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from functools import cache
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,7 @@ CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Distinct words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 
 
 class Encoder:
@@ -45,19 +49,74 @@ class Encoder:
     def __init__(self, path: str):
         self.path, self._tok = path, None
 
-    def __getstate__(self):
-        return {"path": self.path, "_tok": None}
-
     def _open(self):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(self.path)
+        vocab = self._tok.get_vocab()
+        #: Which ids end a unit, in vocabularies that mark it.
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        self._ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self._reset()
 
     def _reset(self):
         self._known: dict[str, int] = {"": 0}
-        self._ids: list[list[int]] = [[]]
-        self._flat = None
+        self._flat, self._at, self._n, self._end = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 1, 0
+
+    def _put(self, words: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Remember the ids of new words; the arrays double when full."""
+        n, end = self._n + len(words), self._end + len(ids)
+        while len(self._flat) < end:
+            self._flat = np.concatenate((self._flat, np.zeros_like(self._flat)))
+        while len(self._at) <= n:
+            self._at = np.concatenate((self._at, np.zeros_like(self._at)))
+        self._flat[self._end : end] = ids
+        self._at[self._n + 1 : n + 1] = self._end + np.cumsum(size)
+        self._known.update(zip(words, range(self._n, n)))
+        self._n, self._end = n, end
+
+    def _encode_each(self, words: list[str]) -> None:
+        got = [e.ids for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        self._put(words, np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())), size)
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words not met before. Words of letters alone are one unit each to the tokenizer, so many are encoded
+        as one text; a full stop or comma after letters is a unit of its own."""
+        letters = lambda w: w.isalpha() and (w.isascii() or w.lower().isalpha())
+        pure = {w for w in new if letters(w)}
+        marked = [w for w in new if w[-1] in ".," and letters(w[:-1])]
+        self._encode_each(list(new.difference(pure, marked).union(".,").difference(self._known)))
+        pure = list(pure.union(w[:-1] for w in marked).difference(self._known))
+        for i in range(0, len(pure), 2000):
+            part = pure[i : i + 2000]
+            ids = np.array(self._tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self._ends[ids])
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                self._put(part, ids, np.diff(np.concatenate(([-1], last))))
+            else:
+                self._encode_each(part)
+        if marked:
+            base = np.fromiter((self._known[w[:-1]] for w in marked), np.int64, len(marked))
+            mark = np.fromiter((self._known[w[-1]] for w in marked), np.int64, len(marked))
+            word = np.column_stack((base, mark)).ravel()
+            ids, to = self._gather(word)
+            self._put(marked, ids, np.diff(np.concatenate(([0], to[1::2]))))
+
+    def _gather(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words one after another, and where each ends."""
+        first = self._at[word]
+        size = self._at[word + 1] - first
+        to = np.cumsum(size)
+        return self._flat[np.repeat(first - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)], to
+
+    @staticmethod
+    def _plain(text: str) -> str:
+        """The text in lower case where the tokenizer, which lower-cases, gives the same ids for both."""
+        if text.isascii():
+            return text if "<|" in text else text.lower()
+        return text if "<|" in text or "\u03a3" in text or "\u0130" in text or not is_normalized("NFC", text) else text.lower()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the offsets of the texts."""
@@ -65,35 +124,31 @@ class Encoder:
             self._open()
         if len(self._known) > CACHE_WORDS:
             self._reset()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*parts).difference(self._known)
-        if new:
-            new = list(new)
-            for w, e in zip(new, self._tok.encode_batch(new, add_special_tokens=False)):
-                self._known[w] = len(self._ids)
-                self._ids.append(e.ids)
-            self._flat = None
-        if self._flat is None:
-            self._len = np.fromiter(map(len, self._ids), np.int64, len(self._ids))
-            self._at = np.concatenate(([0], np.cumsum(self._len)))
-            self._flat = np.fromiter((i for x in self._ids for i in x), np.uint32, int(self._at[-1]))
+        parts = [self._plain(t).replace("\n", " ").split(" ") for t in texts]
+        if new := set().union(*parts).difference(self._known):
+            self._learn(new)
         n = np.fromiter(map(len, parts), np.int64, len(parts))
-        get = self._known.__getitem__
-        word = np.fromiter((i for p in parts for i in map(get, p)), np.int64, int(n.sum()))
-        size = self._len[word]
-        to = np.cumsum(size)
-        flat = self._flat[np.repeat(self._at[word] - (to - size), size) + np.arange(int(to[-1]) if len(to) else 0)]
+        word = np.fromiter(map(self._known.__getitem__, chain.from_iterable(parts)), np.int64, int(n.sum()))
+        flat, to = self._gather(word)
         return flat, np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(n)))]
 
 
+@cache
+def shared_encoder(path: str) -> Encoder:
+    """One encoder for each Python worker, so that its cache outlives a task."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens. All but a document's last piece are full."""
-    encoder = Encoder(tokenizer)
     rows = docs.select(id_col, text_col)
 
     def run(batches):
+        from . import packing
         from . import textkernel as tk
 
+        encoder = packing.shared_encoder(tokenizer)
+
         for batch in batches:
             for part in tk.slices(batch, text_col, 1 << 20):
                 flat, at = encoder.encode([t or "" for t in part.column(1).to_pylist()])
