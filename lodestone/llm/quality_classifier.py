@@ -110,26 +110,28 @@ def with_evidence(docs: DataFrame, model: Evidence, site: Column, *, text_col="t
     return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_ls_ratio", T.DoubleType())]))
 
 
-def _strength(spread, expected_noise, weight):
+def _strength(spread: float | None, noise: float | None, weight: float | None) -> float:
     """Prior strength from the observed spread of group rates around their parent's and the part that chance explains."""
-    between = F.greatest(spread / weight - expected_noise / weight, F.lit(1e-6))
-    return F.least(F.greatest(F.lit(0.25) * F.lit(1.0) / between, F.lit(2.0)), F.lit(1e4))
+    between = max((spread or 0.0) - (noise or 0.0), 1e-6 * (weight or 1)) / (weight or 1)
+    return min(max(0.25 / between, 2.0), 1e4)
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """For each path: its own and its host's counts, the global rate and the strengths, from ``with_evidence`` rows."""
+    """For each path: its own and its host's counts, the global rate and the strengths, from ``with_evidence`` rows.
+
+    The global rate and the two strengths are three numbers that the driver reads from grouped sums."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_ls_ratio")))
     paths = scored.groupBy("_ls_host", "_ls_path").agg(F.count("*").alias("n_path"), F.sum(p).alias("k_path"))
     paths = common.checkpointed(paths)
-    hosts = paths.groupBy("_ls_host").agg(F.sum("n_path").alias("n_host"), F.sum("k_path").alias("k_host"))
-    total = hosts.agg(F.sum("n_host").alias("n"), F.sum("k_host").alias("k")).select(((F.col("k") + 1) / (F.col("n") + 2)).alias("rate"))
-    h = hosts.crossJoin(F.broadcast(total))  # one row
-    var = F.col("rate") * (1 - F.col("rate"))
-    h_strength = h.agg(_strength(F.sum(F.col("n_host") * F.pow(F.col("k_host") / F.col("n_host") - F.col("rate"), 2)), F.sum(var), F.sum("n_host")).alias("host_strength"))
-    j = paths.join(hosts, "_ls_host").withColumn("hr", F.col("k_host") / F.col("n_host"))
-    p_strength = j.agg(_strength(F.sum(F.col("n_path") * F.pow(F.col("k_path") / F.col("n_path") - F.col("hr"), 2)), F.sum(F.col("hr") * (1 - F.col("hr"))), F.sum("n_path")).alias("path_strength"))
-    one = total.crossJoin(h_strength).crossJoin(p_strength)  # single rows
-    return j.drop("hr").crossJoin(F.broadcast(one)).drop("_ls_host")
+    hosts = common.checkpointed(paths.groupBy("_ls_host").agg(F.sum("n_path").alias("n_host"), F.sum("k_path").alias("k_host")))
+    all_ = hosts.agg(F.sum("n_host").alias("n"), F.sum("k_host").alias("k")).first()
+    n, rate = all_["n"] or 0, ((all_["k"] or 0.0) + 1) / ((all_["n"] or 0) + 2)
+    off = hosts.agg(F.sum(F.col("n_host") * F.pow(F.col("k_host") / F.col("n_host") - rate, 2)).alias("s"), F.count("*").alias("g")).first()
+    host_strength = _strength(off["s"], off["g"] * rate * (1 - rate), n)
+    joined = paths.join(hosts, "_ls_host").withColumn("_r", F.col("k_host") / F.col("n_host"))
+    off = joined.agg(F.sum(F.col("n_path") * F.pow(F.col("k_path") / F.col("n_path") - F.col("_r"), 2)).alias("s"), F.sum(F.col("_r") * (1 - F.col("_r"))).alias("e")).first()
+    path_strength = _strength(off["s"], off["e"], n)
+    return joined.drop("_r", "_ls_host").select("*", F.lit(rate).alias("rate"), F.lit(host_strength).alias("host_strength"), F.lit(path_strength).alias("path_strength"))
 
 
 def judged(docs: DataFrame, model: Evidence, site: Column, *, text_col="text", threshold: float = THRESHOLD) -> DataFrame:
