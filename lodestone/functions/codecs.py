@@ -379,6 +379,8 @@ def decompress(codec: str, data: bytes) -> bytes:
     """All of a stream; raises Corrupted or Unsupported."""
     if codec not in DECODERS:
         raise Unsupported(f"no decoder for {codec}")
+    if not data:
+        raise Corrupted("empty stream")
     try:
         return DECODERS[codec](data)
     except (Corrupted, Unsupported):
