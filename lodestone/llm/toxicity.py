@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; besides each word its first five code
-points count as a word form, so that inflected forms share evidence. Features: words, word forms, pairs of neighbours
+Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; besides each word its first four and
+first five code points count as word forms, so that inflected forms share evidence. Features: words, word forms, pairs of neighbours
 and pairs that skip one word, each present or absent. Per-coordinate rates and an L1 penalty leave a sparse weight
 vector, of which only the non-zero part is sent to the executors.
 
@@ -24,7 +24,7 @@ from . import common
 from . import textkernel as tk
 
 BITS = 22
-FORM = 5
+FORMS = (4, 5)
 MAX_TRAIN = 8192
 #: Bytes between words: ASCII that is neither a digit nor a letter.
 BETWEEN = tk.table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
@@ -43,22 +43,23 @@ def _grams(col):
     starts, ends, row = tk.spans(buf, offs, BETWEEN)
     h = tk.hash_spans(buf, starts, ends)
     cp = tk.code_points(buf)
-    cut = np.searchsorted(cp, starts) + FORM
-    form_ends = np.minimum(ends, np.concatenate((cp, [len(buf)]))[np.minimum(cut, len(cp))])
-    form = tk.hash_spans(buf, starts, form_ends)
+    forms, first = [], np.searchsorted(cp, starts)
+    for k in FORMS:
+        form_ends = np.minimum(ends, np.concatenate((cp, [len(buf)]))[np.minimum(first + k, len(cp))])
+        forms.append(tk.hash_spans(buf, starts, form_ends))
     pair, at2 = tk.windows(h, row, 2, 3)
     wide, at3 = tk.windows(h, row, 3, 4)
     with np.errstate(over="ignore"):
         skip = tk.mix((h[at3] ^ np.uint64(0xA5A5)) * np.uint64(0x9E3779B97F4A7C15) + h[at3 + 2])
-        form = tk.mix(form + np.uint64(77))
+        forms = [tk.mix(f + np.uint64(77 + i)) for i, f in enumerate(forms)]
     mask = np.uint64((1 << BITS) - 1)
-    idx = np.concatenate([(x & mask).astype(np.int32) for x in (h, form, pair, skip)])
-    rows = np.concatenate([row, row, row[at2], row[at3]])
+    idx = np.concatenate([(x & mask).astype(np.int32) for x in (h, *forms, pair, skip)])
+    rows = np.concatenate([row] * (1 + len(forms)) + [row[at2], row[at3]])
     idx, count, at = common.unique_per_row(idx, rows, n, BITS)
     return idx, np.ones(len(idx), np.float32), at
 
 
-def ftrl(y, at, idx, *, alpha=0.3, beta=1.0, l1=0.5, l2=1.0, epochs=4) -> tuple[np.ndarray, np.ndarray, float]:
+def ftrl(y, at, idx, *, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=4) -> tuple[np.ndarray, np.ndarray, float]:
     """Indexes and weights that aren't zero, and the offset, after ``epochs`` passes in a fixed order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
