@@ -249,9 +249,11 @@ def _moved_filter(key, old, moves):
 
 
 def apply(docs: DataFrame, index: LineIndex, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """All columns of ``docs``, and ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``."""
-    drops = index.drops().select(F.col("id").alias("_drop_id"), F.col("keys").alias("_keys"))
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == F.col("_drop_id"), "left").drop("_drop_id")
+    """All columns of ``docs``, and ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``; columns that have
+    these names already are replaced. Names that begin with ``_ls_`` are reserved."""
+    docs = docs.drop("kept_text", "n_lines", "n_dropped")
+    drops = index.drops().select(F.col("id").alias("_ls_drop_id"), F.col("keys").alias("_ls_keys"))
+    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == F.col("_ls_drop_id"), "left").drop("_ls_drop_id")
     min_chars = index.min_chars
 
     def run(batches):
