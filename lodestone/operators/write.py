@@ -45,6 +45,39 @@ def zip_bytes(files, level: int | None = None, store: bool = False) -> bytes:
     return out.getvalue()
 
 
+def zip_aes_bytes(files, password: str, level: int | None = None, salt=os.urandom) -> bytes:
+    """A ZIP whose files are encrypted with AES-256 (AE-2, so without their CRC)."""
+    import hashlib
+    import hmac
+    import struct
+    import zlib
+
+    from ..sources.aes import AES
+
+    body, central, n = b"", b"", 0
+    for name, content, mtime in files:
+        t = pd.Timestamp(max(mtime or 0, 315_532_800), unit="s")
+        date, time = (t.year - 1980) << 9 | t.month << 5 | t.day, t.hour << 11 | t.minute << 5 | t.second // 2
+        raw, flags, method, extra = b"", 0x800, 0, b""
+        if content is None:
+            name = name.rstrip("/") + "/"
+        else:
+            c = zlib.compressobj(-1 if level is None else level, zlib.DEFLATED, -15)
+            s = salt(16)
+            key = hashlib.pbkdf2_hmac("sha1", password.encode(), s, 1000, 66)
+            enc = AES(key[:32]).ctr_le(c.compress(content) + c.flush())
+            raw = s + key[64:] + enc + hmac.new(key[32:64], enc, hashlib.sha1).digest()[:10]
+            flags, method, extra = 0x801, 99, struct.pack("<HHH2sBH", 0x9901, 7, 2, b"AE", 3, 8)
+        encoded = name.encode()
+        common = struct.pack("<HHHHHIIIHH", 51, flags, method, time, date, 0, len(raw), len(content or b""), len(encoded), len(extra))
+        central += b"PK\x01\x02" + struct.pack("<H", 51) + common + struct.pack("<HHHII", 0, 0, 0, 0x10 if content is None else 0, len(body)) + encoded + extra
+        body += b"PK\x03\x04" + common + encoded + extra + raw
+        n += 1
+    if len(body) + len(central) > 0xFFFFFFFF or n > 0xFFFF:
+        raise Unsupported("an encrypted ZIP of more than 4 GB or 65535 files")
+    return body + central + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, n, n, len(central), len(body), 0)
+
+
 def pak_bytes(files) -> bytes:
     import struct
 
@@ -78,12 +111,14 @@ def writer_for(name: str) -> str:
     return found
 
 
-def pack(rows: DataFrame, archive: str, name: str, content: str, *, kind: str, modified: str | None = None, level: int | None = None) -> DataFrame:
-    """One archive per value of ``archive``: (path, content). Entries are in name order.
+def pack(rows: DataFrame, archive: str, name: str, content: str, *, kind: str, modified: str | None = None, level: int | None = None, password: str | None = None) -> DataFrame:
+    """One archive per value of ``archive``: (path, content). Entries are in name order. ZIPs can have a password.
 
     An archive is one value of at most 2 GB and is made in one task, as any archive is."""
     if kind not in WRITERS:
         raise Unsupported(f"{kind} can't be written")
+    if password is not None and kind != "ZIP":
+        raise Unsupported(f"{kind} can't be written with a password")
     ship(rows.sparkSession)
     stamp = F.col(modified).cast("long") if modified else F.lit(None).cast("long")
     t = rows.select(F.col(archive).cast("string").alias("path"), F.col(name).cast("string").alias("name"), F.col(content).cast("binary").alias("content"), stamp.alias("mtime"))
@@ -93,7 +128,7 @@ def pack(rows: DataFrame, archive: str, name: str, content: str, *, kind: str, m
 
         pdf = pdf.sort_values("name", kind="stable")
         files = [(n, bytes(c) if c is not None else None, None if pd.isna(m) else int(m)) for n, c, m in zip(pdf["name"], pdf["content"], pdf["mtime"])]
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [write.WRITERS[kind](files, level)]})
+        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [write.WRITERS[kind](files, level) if password is None else write.zip_aes_bytes(files, password, level)]})
 
     return t.groupBy("path").applyInPandas(run, "path string, content binary")
 

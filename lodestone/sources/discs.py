@@ -532,3 +532,133 @@ def dmg(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
             e.error = x
         e.method = "+".join(sorted(kinds)) or None
         yield e
+
+
+def udf(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
+    """UDF volumes with 2 KiB sectors: type 1 and metadata partitions, file entries of both kinds."""
+    size = 2048
+    block = lambda n: Bytes(data, n * size).take(size)
+    anchor = block(256)
+    if at(anchor, 0, "<H") != 2:
+        raise Corrupted("no UDF anchor")
+    length, first = at(anchor, 16, "<II")
+    starts, maps, root = {}, [], None
+    for n in range(first, first + min(length // size, 256)):
+        d = block(n)
+        tag = at(d, 0, "<H")
+        if tag == 5:
+            starts[at(d, 22, "<H")] = at(d, 188, "<I")
+        elif tag == 6:
+            table, count = at(d, 264, "<II")
+            root, p = d[248:264], 440
+            for _ in range(count):
+                kind, n_map = d[p], d[p + 1]
+                if kind == 1:
+                    maps.append(("plain", at(d, p + 4, "<H"), None))
+                elif d[p + 5 : p + 28].startswith(b"*UDF Metadata Partition"):
+                    maps.append(("metadata", at(d, p + 38, "<H"), at(d, p + 40, "<I")))
+                else:
+                    maps.append(("other", 0, None))
+                p += n_map
+        elif tag == 8:
+            break
+    if root is None or not starts:
+        raise Corrupted("UDF without a logical volume")
+    tables: dict[int, list[tuple[int, int]]] = {}
+
+    def place(part: int, n: int) -> int:
+        if part >= len(maps) or maps[part][1] not in starts:
+            raise Corrupted("UDF partition")
+        kind, number, where = maps[part]
+        if kind == "other":
+            raise Unsupported("UDF virtual or sparable partition")
+        if kind == "metadata":
+            if part not in tables:
+                plain = next(i for i, m in enumerate(maps) if m[0] == "plain")
+                tables[part] = [(p, s) for p, s in extents(block(starts[number] + where), plain)]
+            for p, s in tables[part]:
+                if n * size < s:
+                    return p // size + n
+                n -= s // size
+            raise Corrupted("UDF metadata block")
+        return starts[number] + n
+
+    def extents(fe: bytes, part: int) -> list[tuple[int, int]]:
+        """Byte places and lengths of a file's data; the place of embedded data is -1."""
+        wide = at(fe, 0, "<H") == 266
+        n_ea, n_ad = at(fe, 208 if wide else 168, "<II")
+        p, flags = (216 if wide else 176) + n_ea, at(fe, 34, "<H") & 7
+        if flags == 3:
+            return [(-1, n_ad)]
+        out, step, end = [], 8 if flags == 0 else 16, p + n_ad
+        while p + step <= min(end, len(fe)):
+            n, where = struct.unpack_from("<II", fe, p)
+            ref = part if flags == 0 else struct.unpack_from("<H", fe, p + 8)[0]
+            if n & 0x3FFFFFFF == 0:
+                break
+            if n >> 30 == 3:
+                fe, p = block(place(ref, where)), 24
+                end = 24 + struct.unpack_from("<I", fe, 20)[0]
+                continue
+            out.append((place(ref, where) * size if n >> 30 == 0 else -2, n & 0x3FFFFFFF))
+            p += step
+        return out
+
+    def content(fe: bytes, part: int) -> bytes:
+        total, got = at(fe, 56, "<Q"), []
+        wide = at(fe, 0, "<H") == 266
+        for p, n in extents(fe, part):
+            if p == -1:
+                start = (216 if wide else 176) + at(fe, 208 if wide else 168, "<I")
+                got.append(fe[start : start + n])
+            else:
+                got.append(b"\0" * n if p == -2 else Bytes(data, p).take(n))
+        out = b"".join(got)[:total]
+        if len(out) < total:
+            raise Corrupted("UDF file ends early")
+        return out
+
+    def when(fe: bytes) -> int | None:
+        import calendar
+
+        kind, y, mo, d, h, mi, s = struct.unpack_from("<HhBBBBB", fe, 92 if at(fe, 0, "<H") == 266 else 84)
+        zone = (kind & 0xFFF) - (0x1000 if kind & 0x800 else 0)
+        try:
+            return calendar.timegm((y, mo, d, h, mi, s)) - (0 if zone == -2047 else zone * 60)
+        except ValueError:
+            return None
+
+    def walk(fe: bytes, part: int, prefix: str, depth: int) -> Iterator[Entry]:
+        if depth > MAX_DEPTH:
+            raise Corrupted("UDF directories are too deep")
+        raw, p = content(fe, part), 0
+        while p + 38 <= len(raw):
+            if at(raw, p, "<H") != 257:
+                raise Corrupted("UDF directory record")
+            flags, n = raw[p + 18], raw[p + 19]
+            _, where, ref = struct.unpack_from("<IIH", raw, p + 20)
+            n_use = at(raw, p + 36, "<H")
+            name = raw[p + 38 + n_use : p + 38 + n_use + n]
+            p += -(-(38 + n_use + n) // 4) * 4
+            if flags & 0x0C or not name:
+                continue
+            text = name[1:].decode("utf-16-be" if name[0] in (16, 255) else "latin-1", "replace")
+            child = block(place(ref, where))
+            if flags & 2:
+                yield Entry(f"{prefix}{text}/", 0, modified=when(child), is_directory=True)
+                yield from walk(child, ref, f"{prefix}{text}/", depth + 1)
+                continue
+            e = Entry(prefix + text, at(child, 56, "<Q"), modified=when(child), method="store")
+            if want:
+                try:
+                    e.content = content(child, ref)
+                except ArchiveError as x:
+                    e.error = x
+            yield e
+
+    _, where, part = struct.unpack_from("<IIH", root)
+    files = block(place(part, where))
+    if at(files, 0, "<H") != 256:
+        raise Corrupted("UDF file set")
+    _, where, part = struct.unpack_from("<IIH", files, 400)
+    yield from walk(block(place(part, where)), part, "", 0)

@@ -39,7 +39,7 @@ def _tar_in(codec: str):
 PARSERS: dict[str, Callable[..., Iterator[Entry]]] = {
     "ZIP": zip_.entries, "SEVEN_Z": sevenzip.entries, "TAR": simple.tar, "CPIO": simple.cpio, "AR": simple.ar, "RPM": simple.rpm, "XAR": simple.xar,
     "CAB": windows.cab, "OLE": windows.ole, "CHM": windows.chm, "LHA": windows.lha, "ARJ": windows.arj, "RAR": windows.rar,
-    "ISO": discs.iso, "SQUASHFS": discs.squashfs, "ADF": discs.adf, "WIM": discs.wim, "DMG": discs.dmg, "SFX": _sfx,
+    "ISO": discs.iso, "SQUASHFS": discs.squashfs, "ADF": discs.adf, "WIM": discs.wim, "DMG": discs.dmg, "UDF": discs.udf, "SFX": _sfx,
     **{c: simple.stream(c) for c in ("GZIP", "BZIP2", "XZ", "LZMA", "ZSTD", "LZ4", "SNAPPY", "BROTLI", "LZIP", "LZOP", "Z", "MSLZ")},
     **{t: _tar_in(c) for c, t in formats.TAR_OF.items()},
 }

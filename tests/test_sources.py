@@ -316,3 +316,46 @@ def test_registry_refuses_incomplete_and_repeated_plugins():
 def test_wrong_password_of_zipcrypto_is_encrypted():
     (e,) = zip_.entries(aes_zip(), password="nope")
     assert isinstance(e.error, Encrypted)
+
+
+def test_zip_written_with_a_password():
+    data = write.zip_aes_bytes([("d", None, 0), *FILES], "secret")
+    got = list(zip_.entries(data, password="secret"))
+    assert {e.name: e.content for e in got if not e.is_directory} == PAYLOAD and got[0].name == "d/"
+    assert all(e.error.kind == "Encrypted" for e in zip_.entries(data, password="x") if not e.is_directory)
+
+
+def udf_bytes():
+    """A volume with one folder and two files, one embedded in its entry."""
+    b = {}
+    tag = lambda n, rest: struct.pack("<H", n) + b"\0" * 14 + rest
+    long_ad = lambda n: struct.pack("<IIH6s", 2048, n, 0, b"")
+    stamp = struct.pack("<HhBBBBB", 0x1000, 2023, 11, 14, 22, 13, 20) + b"\0" * 3
+    b[256] = tag(2, struct.pack("<II", 4 * 2048, 257))
+    b[257] = tag(5, b"\0" * 6 + struct.pack("<H", 0) + b"\0" * 164 + struct.pack("<II", 300, 100))
+    b[258] = tag(6, b"\0" * 232 + long_ad(0) + struct.pack("<II", 6, 1) + b"\0" * 168 + bytes([1, 6]) + struct.pack("<HH", 1, 0))
+    b[259] = tag(8, b"")
+    b[300] = tag(256, b"\0" * 384 + long_ad(1))
+
+    def entry(kind, body, inline):
+        icb = b"\0" * 11 + bytes([kind]) + b"\0" * 6 + struct.pack("<H", 3 if inline else 0)
+        head = tag(261, icb + b"\0" * 20 + struct.pack("<QQ", len(body), 0) + stamp * 4 + b"\0" * 44)
+        head = head[:168].ljust(168, b"\0") + struct.pack("<II", 0, len(body) if inline else 8)
+        return head + (body if inline else struct.pack("<II", len(body), 9))
+
+    def record(name, n, folder, parent=False):
+        raw = b"" if parent else b"\x08" + name
+        out = tag(257, struct.pack("<HBB", 1, (2 if folder else 0) | (8 if parent else 0), len(raw)) + long_ad(n) + struct.pack("<H", 0) + raw)
+        return out + b"\0" * (-len(out) % 4)
+
+    b[301] = entry(4, record(b"", 1, True, True) + record(b"DIR", 2, True) + record(b"b.bin", 4, False), True)
+    b[302] = entry(4, record(b"", 1, True, True) + record(b"a.txt", 3, False), True)
+    b[303] = entry(5, b"leaf\n", True)
+    b[304] = entry(5, b"binary", False)
+    b[309] = b"binary"
+    return b"".join(b.get(i, b"").ljust(2048, b"\0") for i in range(320))
+
+
+def test_udf():
+    got = list(discs.udf(udf_bytes()))
+    assert [(e.name, e.is_directory, e.content) for e in got] == [("DIR/", True, None), ("DIR/a.txt", False, b"leaf\n"), ("b.bin", False, b"binary")]
