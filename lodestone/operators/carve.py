@@ -306,3 +306,32 @@ def piece_names(pieces_: DataFrame) -> DataFrame:
 
     n = F.row_number().over(Window.partitionBy("archive_path").orderBy("offset"))
     return pieces_.where("type <> 'padding'").withColumn("file_name", F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("_0x"), F.lpad(F.hex("offset"), 8, "0"), F.lit("."), F.col("extension")))
+
+
+def split_to(files: DataFrame, folder: str) -> DataFrame:
+    """Write the pieces of files (but padding) below ``folder``, which all executors must share, one folder for each
+    file: path, file name, bytes written."""
+    ship(files.sparkSession)
+
+    def run(batches):
+        import os
+
+        from lodestone.operators.carve import pieces
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                data, n = bytes(content or b""), 0
+                own = os.path.join(folder, re.sub(r"[^A-Za-z0-9._-]", "_", path.rsplit("/", 1)[-1]) + ".pieces")
+                os.makedirs(own, exist_ok=True)
+                for p in pieces(data):
+                    if p["type"] == "padding":
+                        continue
+                    n += 1
+                    name = f"{n:03d}_0x{p['offset']:08X}.{p['extension']}"
+                    with open(os.path.join(own, name), "wb") as f:
+                        f.write(data[p["offset"] : p["offset"] + p["length"]])
+                    rows.append((path, name, p["length"]))
+            yield pd.DataFrame(rows, columns=["archive_path", "file_name", "bytes_written"])
+
+    return files.select("path", "content").mapInPandas(run, "archive_path string, file_name string, bytes_written long")

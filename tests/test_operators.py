@@ -199,3 +199,24 @@ def test_media_without_a_cabinet(spark):
 def test_directory_loops_end(spark):
     d = spark.createDataFrame([("p", "a", None, "A"), ("p", "b", "a", "B"), ("p", "x", "y", "X"), ("p", "y", "x", "Y"), ("p", "r", "r", "R")], "package string, directory string, parent string, name string")
     assert {r["directory"]: r["path"] for r in relational.directory_paths(d).collect()} == {"a": "A", "b": "A/B", "r": "R"}
+
+
+def test_golden_texts(spark):
+    from lodestone.operators import golden
+
+    df = files_df(spark, [("a.zip", write.zip_bytes([("empty-dir", None, 0), *FILES])), ("b.zip", b"PK")])
+    e = registry.read_entries(df)
+    listed = {r["archive_path"]: r["list"] for r in golden.listing(e).collect()}
+    assert listed["a.zip"].split("\n") == ["list: 5 entries", "  bin/random.bin 4096", "  deep/a/b/c/leaf.txt 5", "  docs/empty.txt 0", "  docs/notes.txt 29490", "  empty-dir/ (folder)"]
+    assert listed["b.zip"].startswith("list: ERROR Corrupted: ")
+    texts = {r["archive_path"]: r["extracted"] for r in golden.contents(e).collect()}
+    assert texts["a.zip"].split("\n")[0] == "extracted: 4 items" and "  deep/a/b/c/leaf.txt 5 26d0bac9f0c7a35b2f3322a0f4ad4517265f56b2c0f4b2ed7cb5cbd30c5868e2" in texts["a.zip"]
+    rep = golden.report(recover.recover(df)).where("archive_path = 'a.zip'").first()["report"]
+    assert rep.split("\n")[0] == "OK           docs/notes.txt (29490 of 29490 bytes)"
+
+
+def test_pieces_are_written(spark, tmp_path):
+    data = PNG + b"\0" * 16 + gzip.compress(b"x")
+    got = carve.split_to(files_df(spark, [("dir/f.bin", data)]), str(tmp_path)).collect()
+    assert [r["file_name"] for r in got] == ["001_0x00000000.png", f"002_0x{len(PNG) + 16:08X}.gz"]
+    assert (tmp_path / "f.bin.pieces" / "001_0x00000000.png").read_bytes() == PNG
