@@ -139,3 +139,40 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html_extract.extract(common.read(spark, sf_dir, "pages"), carry=("url",))
     return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+ORACLES["op7_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), starts AS (SELECT item, w, least(10, len(w)) AS k, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS a FROM b WHERE len(w) > 0
+), wins AS (SELECT DISTINCT item, k, array_to_string(w[a:a + k - 1], ' ') AS win FROM starts
+), pos AS (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS a FROM d, (SELECT DISTINCT k FROM wins) WHERE len(w) >= k
+), hits AS (SELECT pos.r, pos.a, pos.k, wins.item FROM pos JOIN wins ON pos.k = wins.k AND array_to_string(pos.w[pos.a:pos.a + pos.k - 1], ' ') = wins.win
+), words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(a, a + k)) AS p FROM hits) GROUP BY r
+), items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+  sha256(coalesce(items.items, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.r = words.r LEFT JOIN items ON d.r = items.r
+"""
+
+ORACLES["op9_jaccard_join"] = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), starts AS (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS a FROM d WHERE len(w) > 0
+), s AS (SELECT DISTINCT r, array_to_string(w[a:a + 3], ' ') AS g FROM starts
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r
+), pairs AS (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.r <> y.r GROUP BY x.r, y.r
+), links AS (SELECT da.doc_id AS a, db.doc_id AS b FROM pairs p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b JOIN d da ON da.r = p.a JOIN d db ON db.r = p.b
+  WHERE 100 * p.c >= 85 * (na.n + nb.n - p.c)
+), reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM d LEFT JOIN n ON d.r = n.r JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""
