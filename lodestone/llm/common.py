@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more. It does so when the driver's
+    JVM collects its garbage, which a driver with little to do may put off for the length of a job."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed and kept in the shared folder; Spark removes the files once nothing refers to them."""
     shared_dir(df.sparkSession)

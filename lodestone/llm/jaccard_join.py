@@ -10,7 +10,8 @@ next larger scheme if a linked set can be there.
 2. Every class is compared with the class that leads most of its signatures; linked classes become components.
 3. A signature whose classes lie in one component is settled. In the others, the classes outside the signature's main
    component are compared with all its classes. This is linear in the signature's size while they are few; where there
-   are more than ``MINOR``, the signature is left out.
+   are more than ``MINOR``, first the components' leaders are compared, which may merge them, and where there still
+   are, the signature is left out.
 4. Leaving out is free up to the scheme's spare segments (empty segments count too): linked sets agree on at least one
    segment more. Sets that exceed this are compared among themselves by cost-based allocation: their segment subsets
    and one-deletion neighbourhoods are indexed, each set skips its costly segments, probes some with the subset and the
@@ -41,6 +42,10 @@ from . import textkernel as tk
 MINOR = 16
 #: Entries (16 bytes) that a grouping task holds.
 TASK_ENTRIES = 4 << 20
+#: Words of 64 parity cells that accompany a set through an allocated join.
+CELLS = 16
+#: One segment in so many has one-deletion neighbours in an allocated join.
+WIDE = 8
 PLAIN, HEAD, SHARED, EMPTY = range(4)
 
 
@@ -197,6 +202,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = down.groupBy("u").agg(F.min("v").alias("m"))
         edges = down.join(small, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").unionByName(small.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
         edges = common.checkpointed(edges)
+        del both, least, large, down, small
+        common.tidy(edges.sparkSession)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -206,67 +213,86 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFrame:
-    """Candidate pairs among (key, scheme) rows by subsets and one-deletion neighbourhoods with allocated costs."""
-    rows = exceeding.join(sets, "key").select("key", "scheme", "set")
+    """Candidate pairs of different components among (key, scheme, comp) rows by subsets and one-deletion
+    neighbourhoods with allocated costs. A pair is found from its larger set: as it can differ from a smaller one in
+    no more shingles than two of its size, its allowance need only exceed that.
+
+    A scheme's shingles are spread over so many segments that rare ones seldom share one. Non-empty subsets are indexed;
+    one segment in ``WIDE`` also has its one-deletion neighbours (those that aren't empty). A set's allowance is the
+    cheapest choice of subsets and neighbourhoods; there are several times as many as it needs.
+    """
+    rows = exceeding.join(sets, "key").select("key", "scheme", "comp", "set")
+    cells = [f"p{i}" for i in range(CELLS)]
+
+    def outline(batches):
+        for batch in batches:
+            w = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(3)]
+            parity = np.array([np.packbits((np.bincount((x >> np.uint64(7)).astype(np.int64) & (64 * CELLS - 1), minlength=64 * CELLS) & 1).astype(np.uint8)).view(np.int64) for x in w]).reshape(-1, CELLS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in w], pa.int64()), *(pa.array(parity[:, i]) for i in range(CELLS)), batch.column(3)], names=["key", "scheme", "comp", "n", *cells, "set"])
 
-    def run(batches):
+    # a row for each set: what bounds a pair's difference (the index has the same columns)
+    rows = common.checkpointed(map_arrow(rows, outline, "key long, scheme int, comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", set binary"))
+    outlines = rows.drop("set")
+    small = F.broadcast if outlines.count() * 8 * (CELLS + 4) <= common.BROADCAST_LIMIT else lambda df: df
+
+    def neighbours(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 scheme = int(batch.column(1)[i].as_py())
-                w = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                m = int(spec.furthest[scheme]) // 2 + 2 + int(spec.furthest[scheme]) // 8
+                w = np.frombuffer(batch.column(batch.num_columns - 1)[i].as_buffer(), np.uint64)
+                m = 3 * int(spec.furthest[scheme]) + 2
                 seg = js.segment_of(w, np.full(len(w), m))
-                v = tk.mix(w + np.uint64(0x3C6EF372))
+                v, held = tk.mix(w + np.uint64(0x3C6EF372)), np.bincount(seg, minlength=m)
                 with np.errstate(over="ignore"):
                     total = np.zeros(m, np.uint64)
                     np.add.at(total, seg, v)
                     salt = lambda s, j: tk.mix(s + j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(scheme << 50)).view(np.int64)
-                    subset, cut = salt(total, np.arange(m)), salt(total[seg] - v, seg)
-                n = m + len(w)
+                    full = np.flatnonzero(held)
+                    cut = np.flatnonzero((seg % WIDE == 0) & (held[seg] > 1))
+                    h = np.concatenate((salt(total[full], full), salt(total[seg[cut]] - v[cut], seg[cut])))
+                n = len(h)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, scheme, np.int32)), pa.array(np.concatenate((np.arange(m), seg)).astype(np.int32)), pa.array(np.repeat([0, 1], [m, len(w)]).astype(np.int32)), pa.array(np.concatenate((subset, cut)))],
-                    names=["key", "scheme", "seg", "cut", "h"],
+                    [*(pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in range(2, batch.num_columns - 1)), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, scheme, np.int32)), pa.array(np.concatenate((full, seg[cut])).astype(np.int32)), pa.array(np.repeat([0, 1], [len(full), len(cut)]).astype(np.int32)), pa.array(h)],
+                    names=["comp", "n", *cells, "key", "scheme", "seg", "cut", "h"],
                 )
 
-    index = common.checkpointed(map_arrow(rows, run, "key long, scheme int, seg int, cut int, h long"))
+    index = common.checkpointed(map_arrow(rows, neighbours, "comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", key long, scheme int, seg int, cut int, h long"))
     # what a probe meets: level 0 the equal subsets; level 1 also sets with one shingle more or one fewer
-    probes = index.where("cut = 0").select("key", "scheme", "seg", F.lit(0).alias("level"), "h", F.lit(0).alias("meets"))
-    probes = probes.unionByName(index.where("cut = 0").select("key", "scheme", "seg", F.lit(1).alias("level"), "h", F.lit(1).alias("meets")))
-    probes = probes.unionByName(index.where("cut = 1").select("key", "scheme", "seg", F.lit(1).alias("level"), "h", F.lit(0).alias("meets")))
+    subset, wide = index.where("cut = 0"), index.where(F.col("seg") % WIDE == 0)
+    probes = subset.select("key", "scheme", "n", "seg", F.lit(0).alias("level"), "h", F.lit(0).alias("meets"))
+    probes = probes.unionByName(wide.select("key", "scheme", "n", "seg", F.lit(1).alias("level"), "h", (1 - F.col("cut")).alias("meets")))
     counts = index.groupBy("h", F.col("cut").alias("meets")).agg(F.count("*").alias("c"))
-    costs = probes.join(counts, ["h", "meets"], "left").groupBy("key", "scheme", "seg", "level").agg(F.sum(F.coalesce("c", F.lit(0))).alias("cost"))
+    costs = probes.join(counts, ["h", "meets"], "left").groupBy("key", "scheme", "n", "seg", "level").agg(F.sum(F.coalesce("c", F.lit(0))).alias("cost"))
 
     def allocate(key, table):
-        scheme = key[1].as_py()
-        need = int(spec.furthest[scheme]) + 1
-        seg, level, cost = (np.asarray(table.column(c)) for c in ("seg", "level", "cost"))
-        m = int(seg.max()) + 1
-        price = np.zeros((2, m), np.int64)
-        price[level, seg] = cost
-        taken, left = np.full(m, -1), need
-        heap = [(price[0, j], j) for j in range(m)]
         import heapq
 
+        n = table.column("n")[0].as_py()
+        need = spec.distance(2 * n) + 1
+        price = {(s, lv): c for s, lv, c in zip(*(table.column(c).to_pylist() for c in ("seg", "level", "cost")))}
+        heap = [(c, s, 0) for (s, lv), c in price.items() if lv == 0]
         heapq.heapify(heap)
-        while left and heap:
-            _, j = heapq.heappop(heap)
-            taken[j] += 1
-            left -= 1
-            if taken[j] == 0:
-                heapq.heappush(heap, (price[1, j], j))
-        js_, lv = [], []
-        for j in np.flatnonzero(taken >= 0):
-            for x in range(taken[j] + 1):
-                js_.append(j)
-                lv.append(x)
-        n = len(js_)
-        return pa.table({"key": pa.array([key[0].as_py()] * n, pa.int64()), "scheme": pa.array([scheme] * n, pa.int32()), "seg": pa.array(js_, pa.int32()), "level": pa.array(lv, pa.int32())})
+        out = []
+        while heap and len(out) < need:
+            _, s, lv = heapq.heappop(heap)
+            out.append((s, lv))
+            if lv == 0 and (s, 1) in price:
+                heapq.heappush(heap, (price[s, 1], s, 1))
+        if len(out) < need:
+            raise ValueError("too few segments for an allowance")  # its shingles would have to share a few hash values
+        return pa.table({"key": pa.array([key[0].as_py()] * len(out), pa.int64()), "scheme": pa.array([key[1].as_py()] * len(out), pa.int32()), "seg": pa.array([s for s, _ in out], pa.int32()), "level": pa.array([x for _, x in out], pa.int32())})
 
     ship(exceeding.sparkSession)
     chosen = costs.groupBy("key", "scheme").applyInArrow(allocate, "key long, scheme int, seg int, level int")
-    live = probes.join(chosen, ["key", "scheme", "seg", "level"], "left_semi")
-    met = live.select(F.col("key").alias("x"), "h", "meets").join(index.select(F.col("key").alias("y"), "h", F.col("cut").alias("meets")), ["h", "meets"]).where("x <> y")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    live = probes.join(chosen, ["key", "scheme", "seg", "level"], "left_semi").select("key", "scheme", "h", "meets")
+    # the sketches' bound is part of the join
+    x = live.join(small(outlines), ["key", "scheme"]).alias("x")
+    y = index.select("key", "h", F.col("cut").alias("meets"), "comp", "n", *cells).alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in cells[1:]), F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))))
+    near = differ * (spec.den + spec.num) <= (F.col("x.n") + F.col("y.n")) * (spec.den - spec.num)
+    larger = (F.col("x.n") > F.col("y.n")) | (F.col("x.n") == F.col("y.n")) & (F.col("x.key") < F.col("y.key"))
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.meets") == F.col("y.meets")) & larger & (F.col("x.comp") != F.col("y.comp")) & near)
+    return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
 def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFrame) -> DataFrame:
@@ -277,6 +303,8 @@ def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFr
     blocks = _blocks(rows, spec, 4 * n_tasks).repartition(n_tasks, "part")
     found = common.checkpointed(map_arrow(blocks, _shared, "kind byte, sig long, key long"))
     entries = common.checkpointed(found.where(F.col("kind") == PLAIN).select("sig", "key").distinct())
+    del blocks
+    common.tidy(spark)
 
     # every class against the class that leads most of its signatures
     lead = entries.groupBy("sig").agg(F.min("key").alias("a"))
@@ -287,30 +315,53 @@ def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFr
     links = common.checkpointed(_verified(near, sets, spec))
     comps = common.checkpointed(components(links))
 
-    # signatures that still join several components
-    placed = entries.join(comps, "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
-    sizes = placed.groupBy("sig", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("sig").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
-    open_ = common.checkpointed(placed.join(main, "sig"))
-    small = open_.where(F.col("minor") <= MINOR)
-    few = small.where("comp <> main").select("sig", F.col("key").alias("x"), F.col("comp").alias("cx"))
-    # the rows of this join are at most MINOR times the entries
-    rest = few.join(small.select("sig", F.col("key").alias("y"), F.col("comp").alias("cy")), "sig").where("cx <> cy")
-    pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = common.checkpointed(_near(pairs, classes, spec))
+    # signatures that still join several components: compared out where they are small; in the others the components'
+    # leaders (the first, then the last of each component) are compared, which merges what belongs together
+    left, near = entries, None
+    for turn in range(3):
+        leader = (F.min, F.max, F.min)[turn]
+        placed = left.join(comps, "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
+        sizes = placed.groupBy("sig", "comp").agg(F.count("*").alias("c"), leader("key").alias("leader"))
+        main = sizes.groupBy("sig").agg(F.max_by(F.struct("comp", "leader"), F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
+        main = main.select("sig", "main.comp", "main.leader", "minor").toDF("sig", "main", "main_leader", "minor")
+        open_ = common.checkpointed(placed.join(main, "sig"))
+        small = open_.where(F.col("minor") <= MINOR)
+        few = small.where("comp <> main").select("sig", F.col("key").alias("x"), F.col("comp").alias("cx"))
+        # the rows of this join are at most MINOR times the entries
+        rest = few.join(small.select("sig", F.col("key").alias("y"), F.col("comp").alias("cy")), "sig").where("cx <> cy")
+        pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        left = open_.where(F.col("minor") > MINOR)
+        if turn < 2:
+            leaders = left.where("comp <> main").groupBy("sig", "comp").agg(leader("key").alias("x"), F.first("main_leader").alias("y"))
+            pairs = pairs.unionByName(leaders.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        near = common.checkpointed(_near(pairs.distinct(), classes, spec))
+        if turn < 2:
+            sets = _sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("key")), spec)
+            links = common.checkpointed(links.unionByName(_verified(near, sets, spec)).distinct())
+            comps = common.checkpointed(components(links))
+            left = common.checkpointed(left.select("sig", "key"))
+            del placed, sizes, main, open_, small, few, rest, pairs, leaders, sets
+            common.tidy(spark)
 
     # sets with more left-out or empty segments than their scheme can spare
     scheme = F.col("sig").bitwiseAND((1 << js.SCHEME_BITS) - 1).cast("int")
-    out = open_.where(F.col("minor") > MINOR).select("key", scheme.alias("scheme"), F.lit(1).cast("long").alias("n"))
+    out = left.select("key", scheme.alias("scheme"), F.lit(1).cast("long").alias("n"))
     # a class that copies brought into several slices has the same count in each
     gaps = found.where(F.col("kind") == EMPTY).select("key", scheme.alias("scheme"), F.shiftright("sig", js.SCHEME_BITS).alias("n")).distinct()
-    spare = F.element_at(F.array(*[F.lit(int(x)) for x in spec.spare(np.arange(len(spec.bounds) - 1))]), F.col("scheme") + 1)
-    exceeding = common.checkpointed(out.unionByName(gaps).groupBy("key", "scheme").agg(F.sum("n").alias("n")).where(F.col("n") > spare).select("key", "scheme"))
+    at_scheme = lambda xs: F.element_at(F.array(*[F.lit(int(x)) for x in xs]), F.col("scheme") + 1)
+    schemes = np.arange(len(spec.bounds) - 1)
+    # linked sets agree on all segments but as many as they can differ in, given this one's size
+    partner = F.least(at_scheme(spec.bounds[1:] - 1), F.floor(F.col("size") * spec.den / spec.num))
+    spare = at_scheme(spec.segments(schemes)) - 1 - F.floor((F.col("size") + partner) * (spec.den - spec.num) / (spec.den + spec.num))
+    counts = out.unionByName(gaps).groupBy("key", "scheme").agg(F.sum("n").alias("n")).where(F.col("n") >= at_scheme(spec.spare(schemes)))
+    exceeding = common.checkpointed(counts.join(classes.select("key", F.col("n").alias("size")), "key").where(F.col("n") > spare).select("key", "scheme"))
     sets = common.checkpointed(_sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(exceeding.select("key")), spec))
     if not exceeding.isEmpty():
-        own = comps.select("key", "comp")
-        more = _allocated(exceeding, sets, spec).join(own.toDF("a", "ca"), "a", "left").join(own.toDF("b", "cb"), "b", "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+        placed = exceeding.join(comps, "key", "left").select("key", "scheme", F.coalesce("comp", "key").alias("comp"))
+        more = _allocated(placed, sets, spec)
         near = common.checkpointed(near.unionByName(_near(more, classes, spec)).distinct())
+        del more, placed
+    common.tidy(spark)
     return components(links.unionByName(_verified(near, sets, spec)))
 
 
