@@ -16,6 +16,7 @@ import zstandard
 
 from .aes import AES
 from .base import ArchiveError, Bytes, Corrupted, Encrypted, Entry, Unsupported, dos_time
+from .deflate64 import inflate64
 
 # Names of the compression methods.
 METHODS = {0: "Store", 8: "Deflate", 9: "Deflate64", 12: "BZIP2", 14: "LZMA", 93: "Zstandard", 95: "XZ", 98: "PPMd", 99: "AES"}
@@ -41,6 +42,8 @@ def inflate(method: int, raw: bytes, size: int) -> bytes:
             if not d.eof:
                 raise Corrupted("deflate data ends early")
             return out
+        if method == 9:
+            return inflate64(raw)
         if method == 12:
             return bz2.decompress(raw)
         if method == 14:

@@ -359,3 +359,31 @@ def udf_bytes():
 def test_udf():
     got = list(discs.udf(udf_bytes()))
     assert [(e.name, e.is_directory, e.content) for e in got] == [("DIR/", True, None), ("DIR/a.txt", False, b"leaf\n"), ("b.bin", False, b"binary")]
+
+
+def test_deflate64():
+    from lodestone.sources.deflate64 import inflate64
+
+    rng = random.Random(9)
+    for data in (b"", b"abc" * 40, PAYLOAD["docs/notes.txt"], bytes(rng.randrange(256) for _ in range(3000)), bytes(rng.choices(b"abcd", k=20_000))):
+        for level, strategy in ((0, 0), (6, 0), (9, 0), (6, zlib.Z_FIXED), (6, zlib.Z_HUFFMAN_ONLY)):
+            c = zlib.compressobj(level, zlib.DEFLATED, -15, 9, strategy)
+            raw = c.compress(data) + c.flush()
+            assert inflate64(raw) == data  # the formats differ in matches of 258 bytes, which these texts don't have
+    # a fixed block: literal a, then length code 285 with 16 extra bits at distance 1, then the end
+    bits = "1" + "10" + format(0x30 + 97, "08b") + format(0xC0 + 285 - 280, "08b") + format(60_000, "016b")[::-1] + "00000" + "0000000"
+    raw = int(bits[::-1], 2).to_bytes(-(-len(bits) // 8), "little")
+    assert inflate64(raw) == b"a" * 60_004
+    for cut in (raw[:3], b"\x07", b""):
+        with pytest.raises(Corrupted):
+            inflate64(cut)
+
+
+def test_zip_with_deflate64():
+    body = PAYLOAD["docs/notes.txt"]
+    data = bytearray(write.zip_bytes([("n", body, 0)]))
+    for mark, off in ((b"PK\x03\x04", 8), (b"PK\x01\x02", 10)):
+        at = data.find(mark) + off
+        data[at : at + 2] = b"\x09\0"
+    (e,) = zip_.entries(bytes(data))
+    assert e.method == "Deflate64" and e.content == body
