@@ -6,11 +6,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+from . import lzx
 from .base import ArchiveError, Bytes, Corrupted, Encrypted, Entry, Unsupported, at, dos_time, file_time
 
 
 def cab(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
-    """Stored and MSZIP folders; others are listed."""
+    """Stored, MSZIP and LZX folders; Quantum ones are listed."""
     if data[:4] != b"MSCF":
         raise Corrupted("not a cabinet")
     b = Bytes(data, 16)
@@ -33,14 +34,17 @@ def cab(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
 
     def folder(i: int) -> bytes:
         start, blocks, kind = folders[i]
-        if kind & 15 > 1:
-            raise Unsupported({2: "Quantum", 3: "LZX"}.get(kind & 15, f"method {kind}"))
+        if kind & 15 not in (0, 1, 3):
+            raise Unsupported({2: "Quantum"}.get(kind & 15, f"method {kind}"))
         r, out, before = Bytes(data, start), [], b""
+        decoder = lzx.Decoder(kind >> 8 & 31) if kind & 15 == 3 else None
         for _ in range(blocks):
             _, packed, plain = r.get("<IHH")
             r.take(data_extra)
             raw = r.take(packed)
-            if kind & 15 == 1:
+            if decoder:
+                raw = decoder.frame(raw, plain)
+            elif kind & 15 == 1:
                 if raw[:2] != b"CK":
                     raise Corrupted("MSZIP block without its mark")
                 try:

@@ -387,3 +387,93 @@ def test_zip_with_deflate64():
         data[at : at + 2] = b"\x09\0"
     (e,) = zip_.entries(bytes(data))
     assert e.method == "Deflate64" and e.content == body
+
+
+class LzxWriter:
+    """Verbatim, aligned and uncompressed blocks over flat codes."""
+
+    def __init__(self):
+        self.bits, self.lens = "", {"main": [0] * 496, "length": [0] * 249}
+
+    def put(self, value, n):
+        self.bits += format(value, f"0{n}b") if n else ""
+
+    def lengths(self, name, first, end, want):
+        """Every length of a span becomes ``want``."""
+        zs = [(old - want) % 17 for old in self.lens[name][first:end]]
+        for z in range(20):
+            self.put(5 if z < 17 else 0, 4)  # 17 codes of 5 bits
+        for z in zs:
+            self.put(z, 5)
+        self.lens[name][first:end] = [want] * (end - first)
+
+    def block(self, kind, items, aligned=None):
+        """items: a byte, or (slot, extra bits, length)."""
+        from lodestone.sources import lzx
+
+        size = sum(1 if isinstance(i, int) else i[2] for i in items)
+        self.put(kind, 3)
+        self.put(size, 24)
+        if kind == 2:
+            for _ in range(8):
+                self.put(3, 3)
+        self.lengths("main", 0, 256, 9)
+        self.lengths("main", 256, 496, 9)
+        self.lengths("length", 0, 249, 8)
+        for i in items:
+            if isinstance(i, int):
+                self.put(i, 9)
+                continue
+            slot, more, n = i
+            self.put(256 + slot * 8 + min(n - 2, 7), 9)
+            if n >= 9:
+                self.put(n - 9, 8)
+            extra = lzx._EXTRA[slot]
+            if kind == 2 and extra >= 3:
+                self.put(more >> 3, extra - 3)
+                self.put(more & 7, 3)
+            else:
+                self.put(more, extra)
+
+    def done(self):
+        self.bits += "0" * (-len(self.bits) % 16)
+        out = b"".join(struct.pack("<H", int(self.bits[i : i + 16], 2)) for i in range(0, len(self.bits), 16))
+        self.bits = ""
+        return out
+
+
+def test_lzx():
+    from lodestone.sources import lzx
+
+    w, text = LzxWriter(), list(b"hello world, ")
+    w.put(0, 1)  # calls aren't translated
+    # offset 13 is 15 - 2: slot 7 begins at 12 with 2 extra bits; then the same offset again, then offset 1
+    w.block(1, [*text, (7, 3, 26), (0, 0, 3), ord("!"), (3, 0, 20)])
+    # slot 10 begins at 32 with 4 extra bits, three of them aligned: offset 32 + 11 - 2 = 41; then the last but one
+    w.block(2, [ord("#"), (10, 11, 5), (1, 0, 4)])
+    want = b"hello world, " * 3 + b"hel" + b"!" * 21 + b"#"
+    want += want[-41:-36]
+    want += want[-1:] * 4
+    d = lzx.Decoder(15)
+    assert d.frame(w.done(), len(want)) == want
+    # the next frame goes on with the codes' lengths and the window; a stored block follows
+    w.block(1, [ord("x"), (0, 0, 2)])
+    w.put(3, 3)
+    w.put(5, 24)
+    raw = w.done() + struct.pack("<III", 7, 8, 9) + b"stuff"
+    assert d.frame(raw, 8) == b"xxxstuff" and d.repeated == [7, 8, 9]
+    with pytest.raises(Corrupted):
+        lzx.Decoder(15).frame(b"\x00\x00" * 4, 100)
+
+
+def test_lzx_cabinet():
+    w, body = LzxWriter(), PAYLOAD["deep/a/b/c/leaf.txt"]
+    w.put(0, 1)
+    w.block(1, list(body))
+    raw = w.done()
+    table = struct.pack("<IIHHHH", len(body), 0, 0, 0x576E, 0, 0x20) + b"leaf.txt\0"
+    start = 44 + len(table)
+    block = struct.pack("<IHH", 0, len(raw), len(body)) + raw
+    head = struct.pack("<4sIIIIIBBHHHHH", b"MSCF", 0, start + len(block), 0, 44, 0, 3, 1, 1, 1, 0, 0, 0)
+    (e,) = windows.cab(head + struct.pack("<IHH", start, 1, 3 | 15 << 8) + table + block)
+    assert (e.name, e.method, e.content) == ("leaf.txt", "LZX", body)
