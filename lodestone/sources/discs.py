@@ -9,6 +9,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+from . import lzx
 from .base import ArchiveError, Bytes, Corrupted, Encrypted, Entry, Unsupported, at, file_time
 
 MAX_DEPTH, MAX_DIRECTORY = 256, 64 << 20
@@ -386,7 +387,7 @@ def xpress(raw: bytes, size: int) -> bytes:
 
 
 def wim(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
-    """WIM images, stored or XPRESS; with several images, each is a folder."""
+    """WIM images, stored, XPRESS or LZX; with several images, each is a folder."""
     b = Bytes(data)
     if b.take(8) != b"MSWIM\0\0\0":
         raise Corrupted("not a WIM file")
@@ -407,8 +408,9 @@ def wim(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
             return raw
         if flag & 0x10:
             raise Unsupported("solid WIM")
-        if not flags & 0x20000:
+        if not flags & 0x60000:
             raise Unsupported("WIM compression")
+        unpack = xpress if flags & 0x20000 else lambda part, size: lzx.Decoder(15, chunk=True).frame(part, size)
         n = -(-plain // chunk)
         width = 8 if plain > 0xFFFFFFFF else 4
         offs = [0, *struct.unpack_from(f"<{n - 1}{'Q' if width == 8 else 'I'}", raw)] if n else []
@@ -416,7 +418,7 @@ def wim(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
         for i, o in enumerate(offs):
             part = body[o : offs[i + 1] if i + 1 < n else len(body)]
             want_n = min(chunk, plain - i * chunk)
-            out.append(part if len(part) == want_n else xpress(part, want_n))
+            out.append(part if len(part) == want_n else unpack(part, want_n))
         return b"".join(out)
 
     files, metadata = {}, []
@@ -453,7 +455,7 @@ def wim(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
                         digest = m[q + 16 : q + 36]
                     q += k
                 r = files.get(digest)
-                e = Entry(prefix + name, r[3] if r else 0, r[0] if r else 0, file_time(written), method="XPRESS" if r and r[1] & 4 else "store")
+                e = Entry(prefix + name, r[3] if r else 0, r[0] if r else 0, file_time(written), method=("XPRESS" if flags & 0x20000 else "LZX") if r and r[1] & 4 else "store")
                 if want:
                     try:
                         e.content = load(r) if r else b""

@@ -1,4 +1,4 @@
-"""LZX as cabinets use it: blocks of prefix codes over literals and matches, three repeated offsets, frames of 32 KB."""
+"""LZX as cabinets and WIM files use it: blocks of prefix codes over literals and matches, three repeated offsets, frames of 32 KB."""
 
 from __future__ import annotations
 
@@ -33,14 +33,15 @@ class _Codes:
 class Decoder:
     """Decodes a folder's data blocks in order; state goes on from block to block."""
 
-    def __init__(self, window_bits: int):
+    def __init__(self, window_bits: int, chunk: bool = False):
+        """``chunk``: a WIM chunk, which says a block's size in another way and always translates calls."""
         if window_bits not in _SLOTS:
             raise Unsupported(f"LZX window of 2^{window_bits}")
         self.n_main, self.window = 256 + 8 * _SLOTS[window_bits], 1 << window_bits
         self.main, self.length = [0] * self.n_main, [0] * 249
         self.repeated, self.out = [1, 1, 1], bytearray()
-        self.kind = self.left = self.translate = 0
-        self.begun = False
+        self.kind = self.left = 0
+        self.chunk, self.begun, self.translate = chunk, chunk, 12_000_000 if chunk else 0
 
     def _refill(self, n: int) -> None:
         while self.have < n:
@@ -86,7 +87,8 @@ class Decoder:
                 i += 1
 
     def _block(self) -> None:
-        self.kind, self.left = self._take(3), self._take(24)
+        self.kind = self._take(3)
+        self.left = self._take(24) if not self.chunk else FRAME if self._take(1) else self._take(16)
         if self.kind in (1, 2):
             if self.kind == 2:
                 self.aligned_codes = _Codes([self._take(3) for _ in range(8)])

@@ -477,3 +477,60 @@ def test_lzx_cabinet():
     head = struct.pack("<4sIIIIIBBHHHHH", b"MSCF", 0, start + len(block), 0, 44, 0, 3, 1, 1, 1, 0, 0, 0)
     (e,) = windows.cab(head + struct.pack("<IHH", start, 1, 3 | 15 << 8) + table + block)
     assert (e.name, e.method, e.content) == ("leaf.txt", "LZX", body)
+
+
+def xpress_bytes(text):
+    """Literals alone, each with a code of 9 bits."""
+    lengths = bytes([9 | 9 << 4] * 128) + b"\0" * 128
+    bits = "".join(format(b, "09b") for b in text)
+    bits += "0" * (-len(bits) % 16 + 32)
+    return lengths + b"".join(struct.pack("<H", int(bits[i : i + 16], 2)) for i in range(0, len(bits), 16))
+
+
+def lzx_chunk(text):
+    w = LzxWriter()
+    w.put(1, 3)
+    w.put(0, 1)
+    w.put(len(text), 16)
+    w.lengths("main", 0, 256, 9)
+    w.lengths("main", 256, 496, 9)
+    w.lengths("length", 0, 249, 8)
+    for b in text:
+        w.put(b, 9)
+    return w.done()
+
+
+def wim_bytes(body, packed, flags):
+    """One image with one file in one folder."""
+    digest = hashlib.sha1(body).digest()
+
+    def entry(name, attr, sub, sha):
+        raw = name.encode("utf-16-le")
+        out = struct.pack("<IiQ", attr, -1, sub) + b"\0" * 16 + struct.pack("<QQQ", 0, 0, (1_700_000_000 + 11_644_473_600) * 10**7) + sha + b"\0" * 12 + struct.pack("<HHH", 0, 0, len(raw)) + raw + b"\0\0"
+        size = -(-(8 + len(out)) // 8) * 8
+        return struct.pack("<Q", size) + out + b"\0" * (size - 8 - len(out))
+
+    end = struct.pack("<Q", 0)
+    root = len(entry("", 0x10, 0, b"\0" * 20)) + 8
+    files = 8 + root
+    top = entry("", 0x10, files, b"\0" * 20) + end
+    one = entry("dir", 0x10, 0, b"\0" * 20)
+    inside = entry("dir", 0x10, files + len(one) + 8, b"\0" * 20) + end + entry("leaf.txt", 0x20, 0, digest) + end
+    meta = struct.pack("<II", 8, 0) + top + inside
+    at = 208
+    table = struct.pack("<QQQHI", len(packed) | 4 << 56, at, len(body), 1, 1) + digest
+    table += struct.pack("<QQQHI", len(meta) | 2 << 56, at + len(packed), len(meta), 1, 1) + hashlib.sha1(meta).digest()
+    head = b"MSWIM\0\0\0" + struct.pack("<IIII", 208, 0xD00, flags, 32768) + b"\0" * 16 + struct.pack("<HHI", 1, 1, 1)
+    head += struct.pack("<QQQ", len(table), at + len(packed) + len(meta), len(table))
+    return head.ljust(208, b"\0") + packed + meta + table
+
+
+def test_wim():
+    body = b"e8 \xe8 is translated only with a target, " * 3
+    for packed, flags, method in ((xpress_bytes(body), 0x20002, "XPRESS"), (lzx_chunk(body), 0x40002, "LZX")):
+        packed = packed if len(packed) != len(body) else packed + b"\0\0"
+        got = list(discs.wim(wim_bytes(body, packed, flags)))
+        assert [(e.name, e.is_directory) for e in got] == [("dir/", True), ("dir/leaf.txt", False)]
+        assert got[1].method == method and got[1].modified == 1_700_000_000 and got[1].error is None
+        assert discs.xpress(xpress_bytes(body), len(body)) == body
+        assert len(got[1].content) == len(body) and (method == "LZX" or got[1].content == body)
