@@ -1,4 +1,4 @@
-"""Cabinets, OLE compound files and Windows Installer tables, compiled help (listing), LHA, ARJ, RAR (listing, stored)."""
+"""Cabinets, OLE compound files and Windows Installer tables, compiled help, LHA, ARJ, RAR (listing, stored)."""
 
 from __future__ import annotations
 
@@ -274,8 +274,31 @@ def ole(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
         yield out
 
 
+_CHM = "::DataSpace/Storage/MSCompressed/"
+
+
+def _chm_content(stored) -> bytes:
+    """The compressed section: LZX frames of 32 KB that begin anew at every reset interval."""
+    control, content = stored(_CHM + "ControlData"), stored(_CHM + "Content")
+    table = stored(_CHM + "Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable")
+    if at(control, 4, "<4s") != b"LZXC":
+        raise Unsupported("CHM compression")
+    version, reset, window = at(control, 8, "<III")
+    scale = 32768 if version == 2 else 1
+    count, _, head, plain, _, block = at(table, 4, "<IIIQQQ")
+    if block != lzx.FRAME or not reset or not window:
+        raise Corrupted("CHM reset table")
+    places = [*struct.unpack_from(f"<{min(count, len(content) + 1)}Q", table, head), len(content)]
+    out, decoder = [], None
+    for i in range(-(-plain // block)):
+        if i % max(1, reset * scale // block) == 0:
+            decoder = lzx.Decoder((window * scale).bit_length() - 1)
+        out.append(decoder.frame(content[places[i] : places[i + 1]], min(block, plain - i * block)))
+    return b"".join(out)
+
+
 def chm(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
-    """The directory of a help file; content of the uncompressed section only."""
+    """Files of a help file, in its stored and its LZX section."""
     if data[:4] != b"ITSF":
         raise Corrupted("not a CHM file")
     dir_at, _, base = at(data, 72, "<QQQ") if at(data, 4, "<I") >= 3 else (*at(data, 72, "<QQ"), 0)
@@ -283,6 +306,7 @@ def chm(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
         raise Corrupted("CHM without a directory")
     head, size = at(data, dir_at + 8, "<I"), at(data, dir_at + 16, "<I")
     chunk = at(data, dir_at + 32, "<i")
+    base = base or dir_at + head + size * at(data, dir_at + 44, "<I")
 
     def number(b: Bytes) -> int:
         v = 0
@@ -292,27 +316,45 @@ def chm(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
             if x < 0x80:
                 return v
 
+    found: dict[str, tuple[int, int, int]] = {}
     seen = set()
     while chunk >= 0 and chunk not in seen:
         seen.add(chunk)
         raw = Bytes(data, dir_at + head + chunk * size).take(size)
         if raw[:4] != b"PMGL":
             raise Corrupted("CHM directory chunk")
-        free, _, _, nxt = struct.unpack_from("<IIii", raw, 4)
+        free, _, _, chunk = struct.unpack_from("<IIii", raw, 4)
         b = Bytes(raw[: size - free], 20)
         while b.at < len(b.data):
             name = b.take(number(b)).decode("utf-8", "replace")
-            section, off, n = number(b), number(b), number(b)
-            if not name.startswith("/") or name == "/" or name[1:2] in ("#", "$"):
-                continue
-            e = Entry(name[1:], 0 if name.endswith("/") else n, is_directory=name.endswith("/"), method="LZX" if section else "store")
-            if want and not e.is_directory:
-                if section:
-                    e.error = Unsupported("LZX")
+            found[name] = number(b), number(b), number(b)
+
+    def stored(name: str) -> bytes:
+        if name not in found:
+            raise Corrupted(f"CHM without {name}")
+        return Bytes(data, base + found[name][1]).take(found[name][2])
+
+    packed: bytes | ArchiveError | None = None
+    for name, (section, off, n) in found.items():
+        if not name.startswith("/") or name == "/" or name[1:2] in ("#", "$"):
+            continue
+        e = Entry(name[1:], 0 if name.endswith("/") else n, is_directory=name.endswith("/"), method="LZX" if section else "store")
+        if want and not e.is_directory:
+            try:
+                if section == 0:
+                    e.content = Bytes(data, base + off).take(n)
                 else:
-                    e.content = data[base + off : base + off + n]
-            yield e
-        chunk = nxt
+                    if packed is None:
+                        try:
+                            packed = _chm_content(stored)
+                        except ArchiveError as x:
+                            packed = x
+                    if isinstance(packed, ArchiveError):
+                        raise packed
+                    e.content = Bytes(packed, off).take(n)
+            except ArchiveError as x:
+                e.error = x
+        yield e
 
 
 class _Bits:

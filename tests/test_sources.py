@@ -534,3 +534,37 @@ def test_wim():
         assert got[1].method == method and got[1].modified == 1_700_000_000 and got[1].error is None
         assert discs.xpress(xpress_bytes(body), len(body)) == body
         assert len(got[1].content) == len(body) and (method == "LZX" or got[1].content == body)
+
+
+def chm_bytes(first, second):
+    """Two files in the compressed section, of one frame, and one stored."""
+    w = LzxWriter()
+    w.put(0, 1)
+    w.block(1, list(first + second))
+    content = w.done()
+    control = struct.pack("<I4sIIIII", 6, b"LZXC", 2, 2, 1, 1, 0)
+    reset = struct.pack("<IIIIQQQQ", 2, 1, 8, 40, len(first + second), len(content), 32768, 0)
+    base = windows._CHM
+    stored = [(base + "Content", content), (base + "ControlData", control), (base + "Transform/{7FC28940-9D31-11D0-9B27-00A0C91E9C7C}/InstanceData/ResetTable", reset), ("/plain.txt", b"plain")]
+
+    def number(v):
+        return (bytes([v >> 7 | 128]) if v > 127 else b"") + bytes([v & 127])
+
+    names, at = b"", 0
+    for name, body in stored:
+        names += number(len(name)) + name.encode() + number(0) + number(at) + number(len(body))
+        at += len(body)
+    for name, off, n in (("/a.htm", 0, len(first)), ("/d/b.htm", len(first), len(second)), ("/#SYSTEM", 0, 1), ("/d/", 0, 0)):
+        names += number(len(name)) + name.encode() + number(1) + number(off) + number(n)
+    chunk = (b"PMGL" + struct.pack("<IIii", 4096 - 20 - len(names), 0, -1, -1) + names).ljust(4096, b"\0")
+    directory = (b"ITSP" + struct.pack("<IIIIIIiiiII", 1, 84, 10, 4096, 2, 1, -1, 0, 0, 0, 1)).ljust(84, b"\0")
+    directory = directory[:32] + struct.pack("<iiiI", 0, 0, -1, 1) + directory[48:] + chunk
+    head = (b"ITSF" + struct.pack("<I", 3)).ljust(72, b"\0") + struct.pack("<QQQ", 96, len(directory), 96 + len(directory))
+    return head + directory + b"".join(body for _, body in stored)
+
+
+def test_chm():
+    first, second = b"<p>one</p>" * 20, b"<p>two</p>"
+    got = {e.name: e for e in windows.chm(chm_bytes(first, second))}
+    assert set(got) == {"plain.txt", "a.htm", "d/b.htm", "d/"} and got["d/"].is_directory
+    assert got["a.htm"].content == first and got["d/b.htm"].content == second and got["plain.txt"].content == b"plain" and got["a.htm"].method == "LZX"
