@@ -568,3 +568,137 @@ def test_chm():
     got = {e.name: e for e in windows.chm(chm_bytes(first, second))}
     assert set(got) == {"plain.txt", "a.htm", "d/b.htm", "d/"} and got["d/"].is_directory
     assert got["a.htm"].content == first and got["d/b.htm"].content == second and got["plain.txt"].content == b"plain" and got["a.htm"].method == "LZX"
+
+
+def adf_bytes(fast=True):
+    """A floppy with a folder, a file in it and one beside it."""
+    b = {}
+
+    def header(kind, name, size=0, blocks=(), table=()):
+        raw = bytearray(512)
+        struct.pack_into(">I", raw, 0, 2)
+        if kind == -3:
+            struct.pack_into(">I", raw, 8, len(blocks))
+            for i, n in enumerate(blocks):
+                struct.pack_into(">I", raw, 308 - 4 * i, n)
+            struct.pack_into(">I", raw, 324, size)
+        for i, n in table:
+            struct.pack_into(">I", raw, 24 + 4 * i, n)
+        struct.pack_into(">III", raw, 420, 8000, 60, 50)
+        raw[432 : 433 + len(name)] = bytes([len(name)]) + name
+        struct.pack_into(">i", raw, 508, kind)
+        return raw
+
+    def data(body):
+        step = 512 if fast else 488
+        out = []
+        for i in range(0, len(body), step):
+            part = body[i : i + step]
+            out.append(part.ljust(512, b"\0") if fast else (struct.pack(">IIIIII", 8, 0, 1, len(part), 0, 0) + part).ljust(512, b"\0"))
+        return out
+
+    body = PAYLOAD["docs/notes.txt"][:1200]
+    parts = data(body)
+    b[880] = header(1, b"disk", table=[(3, 900), (5, 910)])
+    b[900] = header(2, b"dir", table=[(0, 901)])
+    b[901] = header(-3, b"notes", len(body), range(902, 902 + len(parts)))
+    b |= {902 + i: p for i, p in enumerate(parts)}
+    b[910] = header(-3, b"leaf.txt", 5, [911])
+    b[911] = data(b"leaf\n")[0]
+    image = bytearray(901120)
+    image[:4] = b"DOS" + bytes([1 if fast else 0])
+    for n, raw in b.items():
+        image[n * 512 : n * 512 + 512] = raw
+    return bytes(image), body
+
+
+@pytest.mark.parametrize("fast", [True, False])
+def test_adf(fast):
+    image, body = adf_bytes(fast)
+    got = list(discs.adf(image))
+    assert [(e.name, e.content) for e in got] == [("dir/", None), ("dir/notes", body), ("leaf.txt", b"leaf\n")]
+    assert got[2].modified == 252_460_800 + 8000 * 86_400 + 60 * 60 + 1
+
+
+def squashfs_bytes(pack=zlib.compress, comp=1):
+    """A folder with a file of a block and a fragment, a small file in the fragment, and a link."""
+    block = 4096
+    big, small = bytes(range(256)) * 16 + b"tail", b"leaf\n"
+    first = pack(big[:block])
+    fragment = big[block:] + small
+    blocks = b"\0" * 96 + first + fragment
+    meta = lambda raw: struct.pack("<H", len(raw) | 0x8000) + raw
+    base = lambda kind, mode, n: struct.pack("<HHHHII", kind, mode, 0, 0, 1_700_000_000, n)
+    inodes = base(2, 0o644, 1) + struct.pack("<IIII", 96, 0, 0, len(big)) + struct.pack("<I", len(first))
+    at_small = len(inodes)
+    inodes += base(2, 0o600, 2) + struct.pack("<IIII", 0, 0, 4, len(small))
+    at_link = len(inodes)
+    inodes += base(3, 0o777, 3) + struct.pack("<II", 1, 3) + b"big"
+
+    def listing(rows):
+        out = struct.pack("<III", len(rows) - 1, 0, 1)
+        for off, kind, name in rows:
+            out += struct.pack("<HhHH", off, 0, kind, len(name) - 1) + name
+        return out
+
+    sub = listing([(0, 2, b"big"), (at_link, 3, b"link")])
+    at_sub = len(inodes)
+    inodes += base(1, 0o755, 4) + struct.pack("<IIHHI", 0, 2, len(sub) + 3, 0, 5)
+    top = listing([(at_sub, 1, b"dir"), (at_small, 2, b"leaf.txt")])
+    at_root = len(inodes)
+    inodes += base(1, 0o755, 5) + struct.pack("<IIHHI", 0, 2, len(top) + 3, len(sub), 6)
+    inode_at = len(blocks)
+    out = blocks + meta(inodes)
+    dir_at = len(out)
+    out += meta(sub + top)
+    frag_meta = len(out)
+    out += meta(struct.pack("<QII", 96 + len(first), len(fragment) | 0x1000000, 0))
+    frag_at = len(out)
+    out += struct.pack("<Q", frag_meta)
+    head = struct.pack("<IIIIIHHHHHHQQQQQQQQ", 0x73717368, 5, 0, block, 1, comp, 12, 0, 1, 4, 0, at_root, len(out), 0, 0, inode_at, dir_at, frag_at, 0)
+    return head + out[96:], big, small
+
+
+def test_squashfs():
+    import zstandard
+
+    for pack, comp in ((zlib.compress, 1), (zstandard.compress, 6)):
+        data, big, small = squashfs_bytes(pack, comp)
+        got = {e.name: e for e in discs.squashfs(data)}
+        assert set(got) == {"dir/", "dir/big", "dir/link", "leaf.txt"} and got["dir/link"].link_target == "big"
+        assert got["dir/big"].content == big and got["leaf.txt"].content == small and got["leaf.txt"].mode == 0o600
+
+
+def dmg_bytes():
+    import bz2
+    import plistlib
+
+    body = PAYLOAD["bin/random.bin"]
+    chunks, runs = b"", b""
+    for i, (kind, part) in enumerate(((0x80000005, zlib.compress(body[:1024])), (1, body[1024:2048]), (0x80000006, bz2.compress(body[2048:3072])), (2, b""), (0xFFFFFFFF, b""))):
+        runs += struct.pack(">IIQQQQ", kind, 0, 2 * i, 2 if kind != 0xFFFFFFFF else 0, len(chunks), len(part))
+        chunks += part
+    table = struct.pack(">IIQQQ", 0x6D697368, 1, 0, 8, 0) + b"\0" * 168 + struct.pack(">I", 5) + runs
+    plist = plistlib.dumps({"resource-fork": {"blkx": [{"Name": "disk image (Apple_HFS : 1)", "Data": table}]}})
+    koly = bytearray(512)
+    koly[:12] = b"koly\0\0\0\4\0\0\2\0"
+    struct.pack_into(">QQ", koly, 216, len(chunks), len(plist))
+    return chunks + plist + bytes(koly), body[:3072] + b"\0" * 1024
+
+
+def test_dmg():
+    data, body = dmg_bytes()
+    (e,) = discs.dmg(data)
+    assert (e.name, e.content, e.method) == ("0_disk image.img", body, "bzip2+raw+zlib")
+    with pytest.raises(Encrypted):
+        list(discs.dmg(b"encrcdsa" + b"\0" * 600))
+    assert discs._adc(b"\x83abcd" + b"\x04\x03") == b"abcdabcd"
+
+
+def test_lzh_block():
+    """One block: single-symbol codes for lengths and distances, literals with codes of 8 bits."""
+    text = b"hello lzh"
+    # symbol 10 (a literal's code of 8 bits) is the only one: said by a count of 0 and the symbol itself
+    bits = format(len(text), "016b") + "00000" + format(10, "05b") + format(256, "09b") + "0000" + "0000" + "".join(format(c, "08b") for c in text)
+    raw = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert windows.lzh(raw, len(text), 13) == text
