@@ -36,7 +36,7 @@ CAPACITY = 4096
 UNIT = 8
 END_ID = 2
 #: Distinct words whose ids a Python worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 
 
 class Encoder:
@@ -184,14 +184,13 @@ def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(value[room]), out
 
 
-def cutting_stock(demand: np.ndarray, room: int, tolerance: float = 1e-6, rounds: int = 20_000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used, so that exactly ``demand[c-1]`` pieces of c units are placed.
+def column_generation(demand: np.ndarray, room: int, tolerance: float = 1e-6, rounds: int = 20_000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Patterns over the classes in demand, how often the linear program uses each, and the prices of all classes.
 
-    Revised simplex on: minimise the number of sequences, each class covered. Starts from one pattern per class.
+    Revised simplex on: minimise the number of sequences, each class covered. Starts from one pattern per class. No
+    pattern is worth more than 1 at the final prices, so what the demand is worth bounds any packing from below.
     """
     classes = np.flatnonzero(demand)
-    if not len(classes):
-        return []
     d = demand[classes].astype(float)
     n = len(classes)
     columns = [np.where(np.arange(n) == i, room // (classes[i] + 1), 0) for i in range(n)]
@@ -215,6 +214,15 @@ def cutting_stock(demand: np.ndarray, room: int, tolerance: float = 1e-6, rounds
         inverse[out] = pivot
         columns[out] = column
         x = np.maximum(inverse @ d, 0)
+    return columns, x, price / max(1.0, gain)
+
+
+def cutting_stock(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, so that exactly ``demand[c-1]`` pieces of c units are placed."""
+    classes = np.flatnonzero(demand)
+    if not len(classes):
+        return []
+    columns, x, _ = column_generation(demand, room)
     left, plan = demand.copy(), []
     for i in np.argsort(-x, kind="stable"):
         full = np.zeros(len(demand), np.int64)
