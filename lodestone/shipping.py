@@ -41,13 +41,32 @@ def release() -> None:
         pass
 
 
-def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """``mapInArrow`` whose function may import this package, and whose workers are tidied up after each task."""
+#: What a worker keeps from task to task, by name.
+_kept: dict[str, object] = {}
+
+
+def keep(name: str, make):
+    """An object that a Python worker keeps for the tasks that ask for it by name."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def keep_only(name: str | None) -> None:
+    """Drop what earlier tasks of other kinds kept."""
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+
+
+def map_arrow(df: DataFrame, function, schema, keeps: str | None = None) -> DataFrame:
+    """``mapInArrow`` whose function may import this package, and whose workers are tidied up after each task. What a
+    worker kept by another name than ``keeps`` is dropped first."""
     ship(df.sparkSession)
 
     def run(batches):
-        from lodestone.shipping import release
+        from lodestone.shipping import keep_only, release
 
+        keep_only(keeps)
         try:
             yield from function(batches)
         finally:
