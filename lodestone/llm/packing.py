@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from functools import cache
 from itertools import chain
 from unicodedata import is_normalized
 
@@ -133,21 +132,17 @@ class Encoder:
         return flat, np.concatenate(([0], to))[np.concatenate(([0], np.cumsum(n)))]
 
 
-@cache
-def shared_encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, so that its cache outlives a task."""
-    return Encoder(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """A row for each piece: id, start, length, ids_crc32, doc_tokens. All but a document's last piece are full."""
     rows = docs.select(id_col, text_col)
 
     def run(batches):
+        from ..shipping import keep
         from . import packing
         from . import textkernel as tk
 
-        encoder = packing.shared_encoder(tokenizer)
+        # kept by the worker from task to task
+        encoder = keep(f"encoder {tokenizer}", lambda: packing.Encoder(tokenizer))
 
         for batch in batches:
             for part in tk.slices(batch, text_col, 1 << 20):
@@ -160,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id_col="doc_id", text_col="text",
                 cols = [pa.array(c, pa.int64()) for c in zip(*out)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(cols[0]), *cols[1:]], names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return map_arrow(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_arrow(rows, run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long", keeps=f"encoder {tokenizer}")
 
 
 def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
