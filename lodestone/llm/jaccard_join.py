@@ -28,6 +28,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -235,13 +237,14 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
     outlines = rows.drop("set")
     small = F.broadcast if outlines.count() * 8 * (CELLS + 4) <= common.BROADCAST_LIMIT else lambda df: df
 
-    def neighbours(batches):
+    def neighbours(batches, spread):
         for batch in batches:
             for i in range(batch.num_rows):
                 scheme = int(batch.column(1)[i].as_py())
                 w = np.frombuffer(batch.column(batch.num_columns - 1)[i].as_buffer(), np.uint64)
-                m = 3 * int(spec.furthest[scheme]) + 2
-                seg = js.segment_of(w, np.full(len(w), m))
+                far = int(spec.furthest[scheme])
+                m = 3 * far + 2 if far >= 16 else 256
+                seg = js.segment_of(w, np.full(len(w), m), spread)
                 v, held = tk.mix(w + np.uint64(0x3C6EF372)), np.bincount(seg, minlength=m)
                 with np.errstate(over="ignore"):
                     total = np.zeros(m, np.uint64)
@@ -250,15 +253,24 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
                     full = np.flatnonzero(held)
                     cut = np.flatnonzero((seg % WIDE == 0) & (held[seg] > 1))
                     h = np.concatenate((salt(total[full], full), salt(total[seg[cut]] - v[cut], seg[cut])))
-                n = len(h)
+                n, at = len(h), np.concatenate((full, seg[cut]))
+                wide = (at % WIDE == 0) & (held[at] > 1)  # of one shingle, the only neighbour would be empty
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in range(2, batch.num_columns - 1)), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, scheme, np.int32)), pa.array(np.concatenate((full, seg[cut])).astype(np.int32)), pa.array(np.repeat([0, 1], [len(full), len(cut)]).astype(np.int32)), pa.array(h)],
-                    names=["comp", "n", *cells, "key", "scheme", "seg", "cut", "h"],
+                    [*(pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in range(2, batch.num_columns - 1)), pa.array(np.full(n, batch.column(0)[i].as_py(), np.int64)), pa.array(np.full(n, scheme, np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat([0, 1], [len(full), len(cut)]).astype(np.int32)), pa.array(wide), pa.array(h)],
+                    names=["comp", "n", *cells, "key", "scheme", "seg", "cut", "wide", "h"],
                 )
 
-    index = common.checkpointed(map_arrow(rows, neighbours, "comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", key long, scheme int, seg int, cut int, h long"))
+    schema = "comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", key long, scheme int, seg int, cut int, wide boolean, h long"
+    spread = 0
+    while True:  # another spread in the event that a set's shingles share too few segments for its allowance
+        index = common.checkpointed(map_arrow(rows, partial(neighbours, spread=spread), schema))
+        gain = F.count_if(F.col("cut") == 0) + F.count_distinct(F.when(F.col("cut") == 1, F.col("seg")))
+        need = F.floor(2 * F.col("n") * (spec.den - spec.num) / (spec.den + spec.num)) + 1
+        if index.groupBy("key", "scheme", "n").agg(gain.alias("gain")).where(F.col("gain") < need).isEmpty():
+            break
+        spread += 1
     # what a probe meets: level 0 the equal subsets; level 1 also sets with one shingle more or one fewer
-    subset, wide = index.where("cut = 0"), index.where(F.col("seg") % WIDE == 0)
+    subset, wide = index.where("cut = 0"), index.where("wide")
     probes = subset.select("key", "scheme", "n", "seg", F.lit(0).alias("level"), "h", F.lit(0).alias("meets"))
     probes = probes.unionByName(wide.select("key", "scheme", "n", "seg", F.lit(1).alias("level"), "h", (1 - F.col("cut")).alias("meets")))
     counts = index.groupBy("h", F.col("cut").alias("meets")).agg(F.count("*").alias("c"))
@@ -278,8 +290,6 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
             out.append((s, lv))
             if lv == 0 and (s, 1) in price:
                 heapq.heappush(heap, (price[s, 1], s, 1))
-        if len(out) < need:
-            raise ValueError("too few segments for an allowance")  # its shingles would have to share a few hash values
         return pa.table({"key": pa.array([key[0].as_py()] * len(out), pa.int64()), "scheme": pa.array([key[1].as_py()] * len(out), pa.int32()), "seg": pa.array([s for s, _ in out], pa.int32()), "level": pa.array([x for _, x in out], pa.int32())})
 
     ship(exceeding.sparkSession)

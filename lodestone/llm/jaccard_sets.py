@@ -119,10 +119,10 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def segment_of(w: np.ndarray, m: np.ndarray) -> np.ndarray:
+def segment_of(w: np.ndarray, m: np.ndarray, salt: int = 0) -> np.ndarray:
     """The segment of each shingle among m."""
     with np.errstate(over="ignore"):
-        h = tk.mix(w ^ np.uint64(0xC0FFEE))
+        h = tk.mix(w ^ np.uint64(0xC0FFEE + salt))
     return (((h >> np.uint64(32)) * m.astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 

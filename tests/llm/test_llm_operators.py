@@ -418,6 +418,16 @@ def test_jaccard_join_of_a_hot_passage(spark, monkeypatch, minor):
     assert used  # the allocated join was needed
 
 
+def test_jaccard_join_of_short_hot_texts(spark, monkeypatch):
+    """Sets of few shingles, most of them everywhere."""
+    monkeypatch.setattr(jaccard_join, "MINOR", 0)
+    g = random.Random(11)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(["p q r s t u v"] + g.choices(words, k=g.randint(0, 4)))) for i in range(150)]
+    got = jaccard_join.near_duplicates(fx.frame(spark, texts), words=3, num=75, den=100).collect()
+    assert collections.Counter(tuple(r[c] for c in ("doc_id", "n_shingles", "component_id")) for r in got) == components_brute(texts, 3, 75, 100)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.near_duplicates(fx.empty(spark)).count() == 0
     only = jaccard_join.near_duplicates(fx.frame(spark, [(1, None), (2, ""), (None, "a b c d e f")])).collect()
