@@ -90,10 +90,16 @@ def match(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     index = rarest.join(wins, "wid").select("token", "off", "len", "win", "items")
     index = index.unionByName(docs.sparkSession.range(1).select(mark.alias("token"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items")))
 
-    p, i = _positions(rows, sizes, ["_row", "_id"]).alias("p"), checkpointed(index).alias("i")
+    at = _positions(rows, sizes, ["_row", "_id"]).withColumn("n_words", F.size("w") - 1)
+    if n_windows > broadcast_windows:  # rows that are shuffled carry the words that a window can reach, not the document
+        first = F.greatest(F.col("at") - (window - 1), F.lit(0))
+        at = at.withColumn("first", first).withColumn("w", F.slice("w", F.col("first") + 1, F.lit(2 * window - 1)))
+    else:
+        at = at.withColumn("first", F.lit(0))
+    p, i = at.alias("p"), checkpointed(index).alias("i")
     start = F.col("p.at") - F.col("i.off")
-    n_words = F.size("p.w") - 1
-    holds = (start >= 0) & (start + F.col("i.len") <= n_words) & ((F.col("i.len") == 0) & (F.col("p.at") == n_words) | (F.slice("p.w", start + 1, F.col("i.len")) == F.col("i.win")) & (F.col("i.len") > 0))
+    n_words = F.col("p.n_words")
+    holds = (start >= 0) & (start + F.col("i.len") <= n_words) & ((F.col("i.len") == 0) & (F.col("p.at") == n_words) | (F.slice("p.w", start - F.col("p.first") + 1, F.col("i.len")) == F.col("i.win")) & (F.col("i.len") > 0))
     hits = p.join(small(i), (F.col("p.token") == F.col("i.token")) & holds).select("_row", "_id", n_words.cast("long").alias("n_words"), F.when(F.col("i.len") > 0, F.struct(start.alias("start"), F.col("i.len").alias("len"))).alias("span"), F.col("i.items").alias("items"))
     return hits.groupBy("_row").agg(
         F.first("_id").alias(id_col), F.first("n_words").alias("n_words"),
@@ -111,5 +117,10 @@ def n_hit(spans: Column) -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", **kw) -> DataFrame:
     """The documents without a hit, with all their columns. Rows that share an id stay or go together."""
-    bad = match(docs, benchmark, id_col=id_col, text_col=text_col, **kw).where(F.size("spans") > 0).select(F.col(id_col).alias("_bad_id")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad_id")), "left_anti")
+    from .common import BROADCAST_LIMIT, checkpointed
+
+    bad = match(docs, benchmark, id_col=id_col, text_col=text_col, **kw).where(F.size("spans") > 0)
+    bad = checkpointed(bad.select(F.col(id_col).alias("_ls_bad_id")).distinct())
+    if bad.count() * 64 <= BROADCAST_LIMIT:
+        bad = F.broadcast(bad)
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_ls_bad_id")), "left_anti")
