@@ -1,10 +1,11 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is cut into leaf blocks: runs of text between block-level tags, with character references decoded and white
-space turned into single spaces. Scripts, styles and other raw elements have no text. A numpy bidirectional LSTM reads
-the sequence of a page's blocks, each as vectors of its hashed tag path (tags, class and id words, neighbours on the
-path) and of its hashed words, with a few shapes (length, share of links, marks), and labels every block as main text
-or not with the whole page as context. Main blocks in page order, joined by an empty line, are the text.
+space turned into single spaces. Scripts, styles and other raw elements have no text, nor have closed drawings, media
+and templates; formulas have. A numpy bidirectional LSTM reads the sequence of a page's blocks, each as vectors of its
+hashed tag path (tags, class and id words, neighbours on the path) and of its hashed words, with a few shapes (length,
+share of links, marks), and labels every block as main text or not with the whole page as context. Main blocks in page
+order, joined by an empty line, are the text.
 
 No labelled pages exist, so the labeller is trained on pages that this module generates: random words in many
 templates (articles in article, main, div, section or table tags, with menus, headers, footers, sidebars, notices,
@@ -38,8 +39,11 @@ PAGES, EPOCHS, BATCH = 1500, 6, 12
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
-RAW = frozenset("script style noscript template iframe svg object embed math canvas audio video noframes xmp".split())
-VOID = frozenset("hr br img input meta link base col area source track wbr param".split())
+#: Elements whose content isn't markup: without an end tag they run to the end of the page.
+RAW = frozenset("script style noscript iframe noframes xmp".split())
+#: Elements left out with their content where they are closed; of an unclosed one only the tag is left out.
+UNSEEN = frozenset("template svg object canvas audio video".split())
+VOID = frozenset("hr br img input meta link base col area source track wbr param embed".split())
 #: An opening tag of the key ends open elements of the named kinds that it cannot be inside of.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Where such a search stops.
@@ -63,6 +67,18 @@ def _path_words(stack) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Where the closed elements of a name start and end; nested ones count, comments and raw elements don't."""
+    ends, opened = {}, []
+    raw = "|".join(RAW)
+    for m in re.finditer(rf"<!--.*?(?:-->|\Z)|<({raw})(?=[\s/>])(?:[^>]*/>|[^>]*>.*?(?:</\1(?=[\s/>])|\Z))|<(/?){name}(?=[\s/>])((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", page, re.I | re.S):
+        if m[2] == "" and not m[3].endswith("/"):
+            opened.append(m.start())
+        elif m[2] == "/" and opened:
+            ends[opened.pop()] = m.end()
+    return ends
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     """Leaf blocks of a page in order: path words, text, code points inside links."""
     out: list[tuple[tuple[str, ...], str, int]] = []
@@ -70,6 +86,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     path: tuple[str, ...] | None = None
     text: list[str] = []
     linked, in_link, at, end = 0, False, 0, len(page)
+    closed: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal text, linked, path
@@ -104,6 +121,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if not closing and not rest.endswith("/"):
                 stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else end
+        elif name in UNSEEN:
+            if not closing and not rest.endswith("/"):
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                at = max(at, closed[name].get(m.start(), at))
         elif name in BLOCK:
             flush()
             in_link = False

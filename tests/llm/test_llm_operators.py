@@ -318,6 +318,19 @@ def test_blocks_of_broken_pages():
     assert len(b("<p>x" * 20_000)) == 20_000
 
 
+def test_blocks_after_embedded_elements():
+    b = lambda h: [x[1] for x in html_extract.blocks(h)]
+    article = "<article><p>one</p>{}<p>two</p></article><p>three</p>"
+    assert b(article.format("<embed src=x.swf>")) == b(article.format("<EMBED src=x.swf width=1/>")) == ["one", "two", "three"]
+    for tag in ("svg", "object", "canvas", "audio", "video", "template"):
+        assert b(article.format(f"<{tag} class=x>")) == ["one", "two", "three"]
+        assert b(article.format(f"<{tag}><p>x</p><{tag}>y</{tag}>z</{tag}>")) == ["one", "two", "three"]
+        assert b(article.format(f"<{tag}><p>x</p><!-- </{tag}> --><script>'</{tag}>'</script><{tag}>y</{tag}>")) == ["one", "x", "two", "three"]
+        assert b(article.format(f"<{tag}-icon>w</{tag}-icon>")) == ["one", "w", "two", "three"]
+    assert b("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds<p><math>y") == ["so x=2 holds", "y"]
+    assert b("<p>x<svg>" * 20_000) == ["x"] * 20_000
+
+
 PAGES = [
     ("<nav><a href=/>Home</a></nav><article><h1>A title</h1><p>First paragraph of the story.</p><div class=ad>Buy this now.</div><p>Second &eacute; paragraph.</p></article><footer>&copy; us</footer>", "A title\n\nFirst paragraph of the story.\n\nSecond é paragraph."),
     ("<div class='menu'><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></div><div id=content><h1>Heading here</h1><p>Some prose that is long enough to be read.</p></div><div class='comments'><p>Nice post, thanks.</p></div>", "Heading here\n\nSome prose that is long enough to be read."),
