@@ -1,11 +1,18 @@
 """Language identification by compression: the language whose zstandard dictionary makes a text smallest.
 
-Each language has a raw-content dictionary of ``DICT_BYTES`` bytes, put together from short passages of a bounded
-sample of its documents (``docs_per_lang``, expected). A text is lower-cased, every run of other characters than
-letters becomes one space, and it is cut into pieces of ``PIECE`` bytes that cover it whole; every piece is compressed on its own with each
-dictionary, and the language with the smallest sum is chosen. The margin is the share by which the second smallest
-sum is larger; below ``min_margin`` the operator's ``lang`` is null (rejected) while ``best`` still names the
-smallest.
+Each language has a raw-content dictionary of ``DICT_BYTES`` bytes, put together from passages of a bounded sample of
+its documents (``docs_per_lang``, expected); the passages are short where there are many documents, and longer, up to
+whole texts, until the dictionary is full where there are few. A language with less text than that has a smaller
+dictionary, which changes no other one: only in comparisons with it are the larger dictionaries cut to about its size
+(to its step, at most 19 % above it, and never below ``LEAST``).
+
+A text is lower-cased, every run of other characters than letters becomes one space, and it is cut into pieces of
+``PIECE`` bytes that cover it whole; every piece is compressed on its own with each dictionary, and the language with
+the smallest sum is chosen, from the largest dictionaries to the smallest: one with a smaller dictionary is chosen if
+no larger one, cut to its size, has a smaller sum, and it saves at least half of what the best larger one saves whole
+(else noise in short texts would choose dictionaries that hold next to nothing). The margin is the least share by
+which another language's sum is larger; below ``min_margin`` the operator's ``lang`` is null (rejected) while ``best``
+still names the smallest.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; equal sums go to the language with
 the most documents, then to the one that sorts first; languages with no sampled text are not learned; with none learned every text is ``und``. An empty table
@@ -29,6 +36,10 @@ from . import common
 DICT_BYTES = 96 << 10
 PIECE = 2048
 LEVEL = 6
+#: Dictionaries below this many bytes are compared with others of this size: so little text proves little.
+LEAST = 4096
+#: Compressors of cut dictionaries that a model keeps.
+KEPT = 64
 DOCS_PER_LANG = 400
 MIN_MARGIN = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
@@ -44,55 +55,109 @@ def _plain(text: str) -> bytes:
     return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
 
+def _step(size: int) -> int:
+    """The size at which a dictionary is compared with larger ones: four steps for each doubling, rounded up."""
+    step = DICT_BYTES
+    for k in range(1, 64):
+        lower = int(DICT_BYTES / 2 ** (k / 4))
+        if lower < max(size, LEAST):
+            break
+        step = lower
+    return step
+
+
 class LanguageModel:
     """Dictionaries by language; ``classify`` returns (best, score, margin) for a text."""
 
     def __init__(self, dictionaries: dict[str, bytes], counts: dict[str, int] | None = None):
         self.dictionaries = dict(sorted(dictionaries.items(), key=lambda x: (-(counts or {}).get(x[0], 0), x[0])))
-        self._compressors = None
+        self.steps = [_step(len(x)) for x in self.dictionaries.values()]
+        self._compressors, self._cut = None, {}
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "_compressors": None}
+        return {"dictionaries": self.dictionaries, "steps": self.steps, "_compressors": None, "_cut": {}}
+
+    @staticmethod
+    def _make(raw: bytes):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def _made(self):
         if self._compressors is None:
-            self._compressors = []
-            for raw in self.dictionaries.values():
-                d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=LEVEL)
-                self._compressors.append(zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False))
+            self._compressors = [self._make(raw) for raw in self.dictionaries.values()]
         return self._compressors
 
+    def _made_cut(self, i: int, step: int):
+        got = self._cut.pop((i, step), None)
+        if got is None:
+            got = self._make(list(self.dictionaries.values())[i][-step:] if step else b" " * 8)
+            while len(self._cut) >= KEPT:
+                del self._cut[next(iter(self._cut))]
+        self._cut[i, step] = got
+        return got
+
     def classify(self, text: str | None) -> tuple[str, float, float]:
         if text is None or not self.dictionaries or not _LETTER.search(text):
             return "und", 0.0, 0.0
-        raw = _plain(text)
-        sums = np.zeros(len(self.dictionaries))
-        for i, c in enumerate(self._made()):
-            sums[i] = sum(len(c.compress(raw[at : at + PIECE])) for at in range(0, len(raw), PIECE))
         names = list(self.dictionaries)
-        best = int(np.argmin(sums))
         if len(names) == 1:
             return names[0], 1.0, 1.0
-        rest = np.delete(sums, best).min()
-        margin = float((rest - sums[best]) / max(rest, 1.0))
-        p = np.exp(-(sums - sums[best]) / max(sums[best], 1.0) * 25)
-        return names[best], float(1 / p.sum()), margin
+        raw = _plain(text)
+        pieces = [raw[at : at + PIECE] for at in range(0, len(raw), PIECE)]
+        own = [sum(len(c.compress(x)) for x in pieces) for c in self._made()]
+        seen: dict[tuple[int, int], int] = {}
+
+        def size(i: int, step: int) -> int:
+            """The sum of a language with its dictionary cut to a step."""
+            if self.steps[i] <= step:
+                return own[i]
+            if (i, step) not in seen:
+                c = self._made_cut(i, step)
+                seen[i, step] = sum(len(c.compress(x)) for x in pieces)
+            return seen[i, step]
+
+        blank = sum(len(self._made_cut(-1, 0).compress(x)) for x in pieces) if len(set(self.steps)) > 1 else 0
+
+        def weak(i: int, large: int) -> bool:
+            """Whether a smaller dictionary saves nothing, or less than half of what a larger whole one does."""
+            return own[i] >= blank or 2 * (blank - own[i]) < blank - own[large]
+
+        best = None
+        for step in sorted(set(self.steps), reverse=True):
+            i = min((i for i, s in enumerate(self.steps) if s == step), key=lambda i: (own[i], i))
+            if best is None or not weak(i, best) and (own[i], i) < (size(best, step), best) and all((own[i], i) < (size(j, step), j) for j, s in enumerate(self.steps) if s > step):
+                best = i
+        margin, p = 1.0, 1.0
+        for i, s in enumerate(self.steps):
+            if i != best:
+                common = DICT_BYTES if s < self.steps[best] and weak(i, best) else min(s, self.steps[best])
+                a, b = size(best, common), size(i, common)
+                margin = min(margin, (b - a) / max(b, 1))
+                p += float(np.exp(-max(b - a, 0) / max(a, 1) * 25))
+        return names[best], 1 / p, max(margin, 0.0)
 
 
 def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel:
     """Dictionaries from at most about ``docs_per_lang`` documents of each language that aren't held out.
 
     The share taken of each language follows from its count, so that a language with most of the rows is sampled where
-    it lies and never gathered. Only the passages (bounded by the dictionary's size) reach the driver.
+    it lies and never gathered. Only the passages (bounded by the dictionary's size) reach the driver: they are as long
+    as it takes for the sample to hold some four times the dictionary's size, if it does.
     """
     usable = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").isNotNull() & (F.length("_text") > 0))
-    counts = {r["_lang"]: r["n"] for r in usable.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    passage = max(256, 2 * DICT_BYTES // docs_per_lang)
+    tops = [4 * passage]
+    while tops[-1] < 4 * DICT_BYTES:
+        tops.append(2 * tops[-1])
+    found = usable.groupBy("_lang").agg(F.count("*").alias("n"), *[F.sum(F.least(F.length("_text"), F.lit(t))).alias(f"t{t}") for t in tops]).collect()
+    counts = {r["_lang"]: r["n"] for r in found}
     if not counts:
         return LanguageModel({})
-    share = F.coalesce(*[F.when(F.col("_lang") == lang, F.lit(int((1 << 30) * min(1.0, docs_per_lang / n)))) for lang, n in counts.items()])
-    passage = max(256, 2 * DICT_BYTES // docs_per_lang)
-    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_id", "_lang", F.substring("_text", 1, 4 * passage).alias("_text"), F.xxhash64("_id").alias("_h"))
+    part = {r["_lang"]: min(1.0, docs_per_lang / r["n"]) for r in found}
+    top = {r["_lang"]: next((t for t in tops if r[f"t{t}"] * part[r["_lang"]] >= 4 * DICT_BYTES), tops[-1]) for r in found}
+    share, take = (F.coalesce(*[F.when(F.col("_lang") == lang, F.lit(v)) for lang, v in x.items()]) for x in ({k: int((1 << 30) * v) for k, v in part.items()}, top))
+    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_id", "_lang", F.substring("_text", F.lit(1), take).alias("_text"), F.xxhash64("_id").alias("_h"))
     own: dict[str, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["_lang"], r["_h"], str(r["_id"]), r["_text"])):
         own.setdefault(r["_lang"], []).append(_plain(r["_text"]))
@@ -106,16 +171,16 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
 
 
 def _dictionaries(passages: dict[str, list[bytes]]) -> dict[str, bytes]:
-    """Raw dictionaries of one size for all languages: the same share of every passage."""
+    """Raw dictionaries: the same share of every passage, then more of the longer ones until the dictionary is full."""
     out = {}
     for lang, texts in passages.items():
-        each = max(64, DICT_BYTES // len(texts))
-        raw = b" ".join(t[:each] for t in texts)
-        if len(raw) < DICT_BYTES:
-            raw = b" ".join([t[each : each + DICT_BYTES // len(texts)] for t in texts] + [raw])
+        at = step = max(64, DICT_BYTES // len(texts))
+        raw = b" ".join(t[:at] for t in texts)
+        while len(raw) < DICT_BYTES and (more := [t[at : at + step] for t in texts if len(t) > at]):
+            raw = b" ".join([*more, raw])
+            at, step = at + step, 2 * step
         out[lang] = raw[-DICT_BYTES:].rjust(8)
-    size = max([4096, min((len(x) for x in out.values()), default=0)])
-    return {k: v[-size:] for k, v in out.items()}
+    return out
 
 
 def identify(docs: DataFrame, model: LanguageModel, *, id_col="doc_id", text_col="text", min_margin: float = MIN_MARGIN) -> DataFrame:

@@ -254,6 +254,35 @@ def test_language_id(spark, sf):
     assert nothing.classify("some text") == ("und", 0.0, 0.0)
 
 
+def test_rare_languages_leave_others_alone(spark):
+    """A language of one short document shrinks no other one's dictionary, and its own texts are still found."""
+    g = random.Random(4)
+    words = {lang: ["".join(g.choices(part, k=g.randint(2, 9))) for _ in range(3000)] for lang, part in (("en", "etaoinshrdlu"), ("de", "äenisratdhkz"), ("el", "αβγδεηικλμνο"))}
+    often = [1 / (i + 1) for i in range(3000)]  # as in natural languages, some words are frequent
+    text = lambda lang, n: " ".join(g.choices(words[lang], often, k=n))
+    docs = [(i, text("en", 900), "en") for i in range(100)] + [(i, text("de", 30_000 if i == 200 else 40), "de") for i in range(150, 210)]
+    fields = "doc_id long, text string, lang string"
+    one = language_id.train(spark.createDataFrame(docs, fields))
+    # a mistyped value and a rare language
+    more = [(next(i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 != 2 and i % 2 == odd), text(of, 30), lang) for odd, of, lang in ((0, "en", "eng"), (1, "el", "el"))]
+    two = language_id.train(spark.createDataFrame(docs + more, fields))
+    assert {len(x) for x in one.dictionaries.values()} == {language_id.DICT_BYTES}  # also of few documents with one long text
+    assert {k: two.dictionaries[k] for k in ("en", "de")} == one.dictionaries
+    unseen = [text(lang, n) for lang in ("en", "de") for n in (20, 200, 4000)]
+    assert [two.classify(t)[0] for t in unseen] == [one.classify(t)[0] for t in unseen] == ["en"] * 3 + ["de"] * 3
+    assert two.classify(more[1][1])[0] == two.classify(text("el", 50))[0] == "el"
+
+
+def test_small_dictionaries_are_compared_at_their_size():
+    g = random.Random(5)
+    words = ["".join(g.choices("abcdefgh", k=g.randint(3, 7))) for _ in range(2500)]
+    sets = words[:1500], words[1000:]  # two languages that share words
+    texts = [" ".join(g.choices(w, k=40_000)).encode() for w in sets]
+    model = language_id.LanguageModel({"big": texts[0][: language_id.DICT_BYTES], "small": texts[1][:8000]}, {"big": 1000, "small": 5})
+    found = [[model.classify(" ".join(g.choices(w, k=150)))[0] for _ in range(40)] for w in sets]
+    assert found[0].count("big") >= 38 and found[1].count("small") >= 38
+
+
 def test_narrow_margins_are_rejected(spark):
     model = language_id.LanguageModel({"a": b"the and of " * 50, "b": b"the and of " * 50}, {"a": 1, "b": 2})
     (r,) = language_id.identify(fx.frame(spark, [(1, "the and of")]), model).collect()
