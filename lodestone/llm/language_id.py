@@ -1,10 +1,11 @@
 """Language identification by compression: the language whose zstandard dictionary makes a text smallest.
 
 Each language has a raw-content dictionary of ``DICT_BYTES`` bytes, put together from passages of a bounded sample of
-its documents (``docs_per_lang``, expected); the passages are short where there are many documents, and longer, up to
-whole texts, until the dictionary is full where there are few. A language with less text than that has a smaller
-dictionary, which changes no other one: only in comparisons with it are the larger dictionaries cut to about its size
-(to its step, at most 19 % above it, and never below ``LEAST``).
+its documents (``docs_per_lang``, expected). A passage begins at a place that a hash chooses in the whole text, and goes
+on at the text's start where it ends. Passages are short where there are many documents, and longer, up to whole texts,
+until the dictionary is full where there are few. A language with less text than that has a smaller dictionary, which
+changes no other one: only in comparisons with it are the larger dictionaries cut to about its size (to its step, at
+most 19 % above it, and never below ``LEAST``).
 
 A text is lower-cased, every run of other characters than letters becomes one space, and it is cut into pieces of
 ``PIECE`` bytes that cover it whole; every piece is compressed on its own with each dictionary, and the language with
@@ -66,6 +67,12 @@ def _step(size: int) -> int:
     return step
 
 
+def _turned(text, key, passage: int):
+    """A text from a place that the key's hash chooses, and from its start when it has ended."""
+    start = F.pmod(F.xxhash64(F.lit("place"), key), F.greatest(F.length(text) - passage + 1, F.lit(1))).cast("int")
+    return F.when(start > 0, F.concat(F.substring(text, start + 1, F.length(text)), F.lit(" "), F.substring(text, F.lit(1), start))).otherwise(text)
+
+
 class LanguageModel:
     """Dictionaries by language; ``classify`` returns (best, score, margin) for a text."""
 
@@ -157,7 +164,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     part = {r["_lang"]: min(1.0, docs_per_lang / r["n"]) for r in found}
     top = {r["_lang"]: next((t for t in tops if r[f"t{t}"] * part[r["_lang"]] >= 4 * DICT_BYTES), tops[-1]) for r in found}
     share, take = (F.coalesce(*[F.when(F.col("_lang") == lang, F.lit(v)) for lang, v in x.items()]) for x in ({k: int((1 << 30) * v) for k, v in part.items()}, top))
-    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_id", "_lang", F.substring("_text", F.lit(1), take).alias("_text"), F.xxhash64("_id").alias("_h"))
+    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_id", "_lang", F.substring(_turned(F.col("_text"), F.col("_id"), passage), F.lit(1), take).alias("_text"), F.xxhash64("_id").alias("_h"))
     own: dict[str, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["_lang"], r["_h"], str(r["_id"]), r["_text"])):
         own.setdefault(r["_lang"], []).append(_plain(r["_text"]))

@@ -273,6 +273,16 @@ def test_rare_languages_leave_others_alone(spark):
     assert two.classify(more[1][1])[0] == two.classify(text("el", 50))[0] == "el"
 
 
+def test_dictionaries_learn_beyond_common_headers(spark):
+    head = "all rights reserved under the licence that comes with this collection of texts " * 40
+    words = {"en": "water house green".split(), "de": "wasser haus grün".split()}
+    docs = [(i, head + " ".join(f"{w}{'abcdefghij'[(i + j) % 10]}" for j in range(400) for w in words[lang]), lang) for i in range(800) for lang in (("en", "de")[i % 2],)]
+    model = language_id.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    for lang, (w, *_) in words.items():
+        assert 2 * model.dictionaries[lang].count(b"licence") < model.dictionaries[lang].count(w.encode())
+        assert model.classify(" ".join(f"{w}{x}" for w in words[lang] for x in "abcdefg"))[0] == lang
+
+
 def test_small_dictionaries_are_compared_at_their_size():
     g = random.Random(5)
     words = ["".join(g.choices("abcdefgh", k=g.randint(3, 7))) for _ in range(2500)]
