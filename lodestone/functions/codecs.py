@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
 import struct
 import zlib
@@ -32,14 +33,17 @@ def _gunzip(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _unlzip(data: bytes) -> bytes:
-    """lzip members: LZMA with lc 3, lp 0, pb 2, and a trailer of CRC-32, size and member size."""
-    out, at = [], 0
+def _lzip_decoder(code: int):
+    size = 1 << (code & 31)
+    size -= (size >> 4) * (code >> 5)
+    return lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": size, "lc": 3, "lp": 0, "pb": 2}])
+
+
+def _lzip_members(data: bytes):
+    """lzip members and where each ends: LZMA with lc 3, lp 0, pb 2, and a trailer of CRC-32, size and member size."""
+    at = 0
     while data[at : at + 4] == b"LZIP":
-        code = data[at + 5]
-        size = 1 << (code & 31)
-        size -= (size >> 4) * (code >> 5)
-        d = lzma.LZMADecompressor(lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1, "dict_size": size, "lc": 3, "lp": 0, "pb": 2}])
+        d = _lzip_decoder(data[at + 5])
         # the raw decoder doesn't stop at the end mark's last byte by itself, so the trailer is looked for
         text = d.decompress(data[at + 6 :])
         used = len(data) - at - 6 - len(d.unused_data) if d.eof else None
@@ -47,11 +51,14 @@ def _unlzip(data: bytes) -> bytes:
         crc, n, member = struct.unpack_from("<IQQ", data, end)
         if crc != zlib.crc32(text) or n != len(text) or member != end + 20 - at:
             raise Corrupted("lzip trailer doesn't fit")
-        out.append(text)
         at = end + 20
-    if not out:
+        yield text, at
+    if not at:
         raise Corrupted("not an lzip member")
-    return b"".join(out)
+
+
+def _unlzip(data: bytes) -> bytes:
+    return b"".join(text for text, _ in _lzip_members(data))
 
 
 def _lzip_end(data: bytes, at: int, text: bytes) -> int:
@@ -86,9 +93,9 @@ def _masked(data: bytes) -> int:
     return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def _unsnappy(data: bytes) -> bytes:
+def _snappy_chunks(data: bytes):
     """The framing format: chunks of type, 24-bit length, masked CRC-32C and data."""
-    out, at, codec = [], 0, pa.Codec("snappy")
+    at, codec = 0, pa.Codec("snappy")
     while at < len(data):
         if at + 4 > len(data):
             raise Corrupted("snappy chunk ends early")
@@ -110,10 +117,13 @@ def _unsnappy(data: bytes) -> bytes:
                 raw = codec.decompress(raw, size, asbytes=True)
             if _masked(raw) != crc:
                 raise Corrupted("snappy checksum doesn't fit")
-            out.append(raw)
+            yield raw
         elif kind < 0x80 and kind != 0xFF:
             raise Unsupported(f"snappy chunk type {kind}")
-    return b"".join(out)
+
+
+def _unsnappy(data: bytes) -> bytes:
+    return b"".join(_snappy_chunks(data))
 
 
 def _snappy(data: bytes) -> bytes:
@@ -317,7 +327,7 @@ def lzo1x(data: bytes, size: int) -> bytes:
     return bytes(out)
 
 
-def _unlzop(data: bytes) -> bytes:
+def _lzop_blocks(data: bytes):
     if data[:9] != b"\x89LZO\0\r\n\x1a\n":
         raise Corrupted("not an lzop file")
     try:
@@ -328,12 +338,11 @@ def _unlzop(data: bytes) -> bytes:
         at += 1 + data[at] + 4
         if flags & 0x40:
             at += 4 + struct.unpack_from(">I", data, at)[0] + 4
-        out = []
         while True:
             n = struct.unpack_from(">I", data, at)[0]
             at += 4
             if n == 0:
-                return b"".join(out)
+                return
             c = struct.unpack_from(">I", data, at)[0]
             at += 4
             sums = []
@@ -350,11 +359,15 @@ def _unlzop(data: bytes) -> bytes:
             raw = raw if c == n else lzo1x(raw, n)
             if any(check(raw) != want for check, want in sums):
                 raise Corrupted("lzop checksum doesn't fit")
-            out.append(raw)
+            yield raw
     except (struct.error, IndexError):
         raise Corrupted("lzop file ends early") from None
 
 
+def _unlzop(data: bytes) -> bytes:
+    return b"".join(_lzop_blocks(data))
+
+
 _brotli, _lz4 = _stream("brotli"), _stream("lz4")
 DECODERS: dict[str, Callable[[bytes], bytes]] = {
     "GZIP": _gunzip, "BZIP2": bz2.decompress, "XZ": _unxz, "LZMA": lambda d: lzma.decompress(d, lzma.FORMAT_ALONE), "ZSTD": _unzstd, "LZ4": _lz4[0],
@@ -395,23 +408,152 @@ def compress(codec: str, data: bytes, level: int | None = None) -> bytes:
     return ENCODERS[codec](data) if level is None else ENCODERS[codec](data, level)
 
 
+def _zstd_decoder():
+    return zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
+
+
+def _prefix(make: Callable, data: bytes, step: int, skip: Callable | None = None) -> bytes:
+    """What decoders give up to the damage, a new one for each member or frame; ``skip`` says what isn't one."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        if skip and (n := skip(data, at)):
+            at += n
+            continue
+        d, start = make(), at
+        try:
+            while at < len(data) and not d.eof:
+                out += d.decompress(data[at : at + step])
+                at += step
+        except Exception:  # noqa: BLE001  whatever a decoder says, what came before it counts
+            d = make()  # the step that failed once more, byte by byte
+            try:
+                if at > start:
+                    d.decompress(data[start:at])
+                for i in range(at, min(at + step, len(data))):
+                    out += d.decompress(data[i : i + 1])
+            except Exception:  # noqa: BLE001
+                pass
+            break
+        if not d.eof:
+            break
+        at = min(at, len(data)) - len(d.unused_data)
+    return bytes(out)
+
+
+class _Slow(io.RawIOBase):
+    """A file that gives few bytes at once, and from some place on a single one."""
+
+    def __init__(self, data: bytes, step: int, single: int):
+        self.data, self.step, self.single, self.at = data, step, single, 0
+
+    def readable(self):
+        return True
+
+    def read(self, n=-1):
+        m = self.step if self.at < self.single else 1
+        got = self.data[self.at : self.at + (m if n < 0 else min(n, m))]
+        self.at += len(got)
+        return got
+
+
+def _arrow_prefix(name: str, data: bytes, step: int) -> bytes:
+    """The same for Arrow's decoders: read in pieces, then up to the error byte by byte."""
+    sure, single = bytearray(), len(data)
+    for size in (4096, 1):
+        raw, got = _Slow(data, step, single), bytearray()
+        try:
+            with pa.CompressedInputStream(pa.PythonFile(raw, mode="r"), name) as f:
+                if size == 1 and sure:
+                    got += f.read(len(sure))
+                while piece := f.read(size):
+                    got += piece
+        except Exception:  # noqa: BLE001
+            pass
+        sure, single = max(sure, got, key=len), max(0, raw.at - 2 * step)
+    return bytes(sure)
+
+
+def _varint(data: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        b = data[at]
+        at += 1
+        value |= (b & 0x7F) << shift
+        shift += 7
+        if b < 0x80:
+            return value, at
+        if shift > 63:
+            raise Corrupted("xz number is too long")
+
+
+def _xz_prefix(data: bytes, step: int) -> bytes:
+    """Every block that a readable index names, whole or up to its damage; streams before them up to the damage."""
+    parts, end = [], len(data)
+    try:
+        while end >= 32:
+            if not data[end - 4 : end].strip(b"\0"):  # padding between streams
+                end -= 4
+                continue
+            crc, back, flags, magic = struct.unpack_from("<II2s2s", data, end - 12)
+            index = end - 12 - 4 * (back + 1)
+            if magic != b"YZ" or crc != zlib.crc32(data[end - 8 : end - 2]) or index < 12 or data[index] or zlib.crc32(data[index : end - 16]) != struct.unpack_from("<I", data, end - 16)[0]:
+                break
+            n, at = _varint(data, index + 1)
+            sizes = []
+            for _ in range(n):
+                unpadded, at = _varint(data, at)
+                _, at = _varint(data, at)
+                sizes.append(-(-unpadded // 4) * 4)
+            start = index - sum(sizes)
+            if start < 12:
+                break
+            head = b"\xfd7zXZ\0" + flags + struct.pack("<I", zlib.crc32(flags))  # the stream's own may be damaged
+            got = []
+            for size in sizes:
+                got.append(_prefix(lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), head + data[start : start + size], step))
+                start += size
+            parts[:0] = got
+            end = index - sum(sizes) - 12
+    except (Corrupted, IndexError, struct.error):
+        pass
+    return _prefix(lambda: lzma.LZMADecompressor(lzma.FORMAT_XZ), data[:end], step, lambda d, at: 4 if at and d[at : at + 4] == b"\0" * 4 else 0) + b"".join(parts)
+
+
 def partial(codec: str, data: bytes, step: int = 256) -> tuple[bytes, bool]:
-    """What comes out of a stream before it is damaged, and whether it is whole."""
+    """What comes out of a stream before it is damaged, and whether it is whole.
+
+    LZ4, Snappy and lzop give whole blocks, xz also the blocks after the damage; compress and SZDD give nothing.
+    """
     try:
         return decompress(codec, data), True
     except (Corrupted, Unsupported):
         pass
-    make = {
-        "GZIP": lambda: zlib.decompressobj(31), "BZIP2": bz2.BZ2Decompressor, "XZ": lzma.LZMADecompressor, "LZMA": lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE),
-        "ZSTD": lambda: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj(),
-    }.get(codec)
     out = bytearray()
-    if make is None:
-        return b"", False
-    d = make()
-    try:
-        for i in range(0, len(data), step):
-            out += d.decompress(data[i : i + step])
-    except Exception:  # noqa: BLE001  whatever a decoder says, what came before it counts
-        pass
+    if codec == "GZIP":
+        return _prefix(lambda: zlib.decompressobj(31), data, step), False
+    if codec == "ZSTD":
+        return _prefix(_zstd_decoder, data, step, lambda d, at: 8 + int.from_bytes(d[at + 4 : at + 8], "little") if 0x184D2A50 <= int.from_bytes(d[at : at + 4], "little") <= 0x184D2A5F else 0), False
+    if codec == "BZIP2":
+        return _prefix(bz2.BZ2Decompressor, data, step), False
+    if codec == "LZMA":
+        return _prefix(lambda: lzma.LZMADecompressor(lzma.FORMAT_ALONE), data, step), False
+    if codec == "XZ":
+        return _xz_prefix(data, step), False
+    if codec in ("LZ4", "BROTLI"):
+        return _arrow_prefix(codec.lower(), data, step), False
+    if codec in ("SNAPPY", "LZOP"):
+        try:
+            for piece in (_snappy_chunks if codec == "SNAPPY" else _lzop_blocks)(data):
+                out += piece
+        except Exception:  # noqa: BLE001
+            pass
+    elif codec == "LZIP":
+        at = 0
+        try:
+            for text, end in _lzip_members(data):
+                out += text
+                at = end
+        except Exception:  # noqa: BLE001
+            if data[at : at + 4] == b"LZIP" and len(data) > at + 6:
+                out += _prefix(lambda: _lzip_decoder(data[at + 5]), data[at + 6 :], step)
     return bytes(out), False

@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import lzma
+import random
 import struct
 import zlib
 
@@ -127,6 +129,50 @@ def test_stream_recovery():
     assert recovered("TAR_GZ", gzip.compress(write.tar_bytes(FILES)))["deep/a/b/c/leaf.txt"][1] == b"leaf\n"
 
 
+@pytest.mark.parametrize("codec", ["GZIP", "ZSTD", "XZ", "LZMA", "LZ4", "BROTLI", "SNAPPY", "LZIP", "LZOP"])
+def test_streams_are_kept_up_to_the_damage(codec):
+    g = random.Random(3)
+    body = b"".join(b"line %d of the text, %r\n" % (i, g.random()) for i in range(20_000))
+    if codec == "LZOP":
+        cut = [body[i : i + 50_000] for i in range(0, len(body), 50_000)]
+        packed = b"\x89LZO\0\r\n\x1a\n" + struct.pack(">HHHBBIIIIB", 0x1030, 0x2080, 0x940, 1, 5, 0, 0, 0, 0, 0) + bytes(4) + b"".join(struct.pack(">II", len(x), len(x)) + x for x in cut) + bytes(4)
+    else:
+        packed = codecs.compress(codec, body)
+    assert codecs.partial(codec, packed) == (body, True)
+    got, whole = codecs.partial(codec, packed[: len(packed) * 3 // 4])
+    assert not whole and len(got) > len(body) // 2 and body.startswith(got)
+    if codec not in ("LZMA", "LZOP", "SNAPPY"):  # the second member or frame is damaged
+        got, whole = codecs.partial(codec, packed + packed[: len(packed) * 3 // 4])
+        assert not whole and len(got) > len(body) * 3 // 2 and (body + body).startswith(got)
+    if codec in ("LZ4", "BROTLI"):
+        tar = write.tar_bytes([(f"f{i}", body[i * 1000 : i * 1000 + 1000], 0) for i in range(500)])
+        files = [f for f in recover.recover_one("a", codec, codecs.compress(codec, tar)[:-50_000]) if f[1] == "UNVERIFIED"]
+        assert len(files) > 50 and files[9][2] == body[9000:10000]
+
+
+def test_xz_blocks_after_the_damage():
+    parts = [random.Random(i).randbytes(40_000) for i in range(3)]
+    packed = [lzma.compress(x) for x in parts]
+    # one stream of three blocks: the blocks' bytes, and an index of all
+    blocks, records = b"", b""
+    for x, raw in zip(packed, parts):
+        size = 4 * (int.from_bytes(x[-8:-4], "little") + 1)
+        index = x[-12 - size : -12]
+        n, at = codecs._varint(index, 2)
+        blocks += x[12 : 12 - (-n // 4) * 4]
+        records += index[2 : codecs._varint(index, at)[1]]
+    index = b"\0\3" + records
+    index += bytes(-len(index) % 4)
+    index += struct.pack("<I", zlib.crc32(index))
+    tail = struct.pack("<I", len(index) // 4 - 1) + packed[0][6:8]
+    stream = packed[0][:12] + blocks + index + struct.pack("<I", zlib.crc32(tail)) + tail + b"YZ"
+    assert codecs.partial("XZ", stream) == (b"".join(parts), True)
+    bad = bytearray(stream)
+    bad[60_000:60_100] = bytes(100)
+    got, whole = codecs.partial("XZ", bytes(bad))
+    assert not whole and got.startswith(parts[0]) and got.endswith(parts[2])
+
+
 def test_recovery_of_anything_else_never_fails(spark):
     df = recover.recover(files_df(spark, [("a.7z", write.WRITERS["SEVEN_Z"](FILES)), ("b.rar", b"Rar!\x1a\x07\0xx"), ("c", b""), ("d", None), ("e.7z", write.WRITERS["SEVEN_Z"](FILES)[:-40])]))
     s = {r["archive_path"]: r for r in recover.summary(df).collect()}
