@@ -80,9 +80,39 @@ def zip_files(data: bytes):
         yield name, "OK" if ok else "UNVERIFIED" if ok is None else "BAD_CHECKSUM", body, plain if known else len(body), None if ok else "no checksum" if ok is None else "CRC doesn't fit"
 
 
+def _pax(raw: bytes) -> dict[bytes, bytes]:
+    """Records "length key=value" of a pax header, as far as they can be read."""
+    out, p = {}, 0
+    while p < len(raw):
+        digits = raw[p : p + 20].split(b" ")[0]
+        n = int(digits) if digits.isdigit() else 0
+        key, mark, value = raw[p + len(digits) + 1 : p + n - 1].partition(b"=")
+        if n <= len(digits) or not mark:
+            break
+        out[key] = value
+        p += n
+    return out
+
+
+def _next_tar_header(data: bytes, p: int) -> int:
+    """The first header after damage: a ustar mark at any offset, or a 512-byte step from the start or from p; its
+    checksum must fit."""
+    m = data.find(b"ustar", p + 258)
+    while m >= 0 and not (m + 255 <= len(data) and _sum_fits(data[m - 257 : m + 255])):
+        m = data.find(b"ustar", m + 1)
+    end = m - 257 if m >= 0 else len(data)
+    for first in {p + 512, p + 512 - p % 512}:
+        for q in range(first, min(end, len(data) - 511), 512):
+            if data[q] and _sum_fits(data[q : q + 512]):
+                end = min(end, q)
+                break
+    return end
+
+
 def tar_files(data: bytes):
-    """Headers at 512-byte steps whose checksum fits; after damage the next such header is looked for at any offset."""
-    p, rows = 0, []
+    """Headers at 512-byte steps whose checksum fits, with GNU long names and pax paths and sizes; after damage the
+    next header is looked for."""
+    p, rows, long, pax = 0, [], None, {}
     while p + 512 <= len(data):
         h = data[p : p + 512]
         if not h.strip(b"\0"):
@@ -91,17 +121,29 @@ def tar_files(data: bytes):
         if not simple._is_tar(h) or not _sum_fits(h):
             if rows and rows[-1][1] == "UNVERIFIED":
                 rows[-1][4] = "followed by damage"
-            m = data.find(b"ustar", p + 258)
-            p = max(p + 512, m - 257) if m >= 0 else len(data)
+            p, long, pax = _next_tar_header(data, p), None, {}
             continue
         try:
             size = int.from_bytes(h[125:136], "big") if h[124] & 0x80 else int(h[124:136].strip(b"\0 ") or b"0", 8)
         except ValueError:
-            p += 512
+            p, long, pax = p + 512, None, {}
+            continue
+        kind = h[156:157]
+        if kind in b"LKxXg":
+            body = data[p + 512 : p + 512 + size]
+            if kind == b"L":
+                long = body.split(b"\0")[0]
+            elif kind in b"xX":
+                pax = _pax(body)
+            p += 512 + -(-size // 512) * 512
             continue
-        name = _name(h[345:500].split(b"\0")[0] + b"/" + h[:100].split(b"\0")[0] if h[257:262] == b"ustar" and h[345] else h[:100].split(b"\0")[0])
+        if pax.get(b"size", b"").isdigit():
+            size = int(pax[b"size"])
+        short = h[345:500].split(b"\0")[0] + b"/" + h[:100].split(b"\0")[0] if h[257:262] == b"ustar" and h[345] else h[:100].split(b"\0")[0]
+        name = _name(pax.get(b"path") or long or short)
+        long, pax = None, {}
         body = data[p + 512 : p + 512 + size]
-        if h[156:157] in (b"0", b"\0", b"7"):
+        if kind in (b"0", b"\0", b"7"):
             whole = len(body) == size
             rows.append([name, "UNVERIFIED" if whole else "PARTIAL" if body else "LOST", body, size, None if whole else "data end early"])
         p += 512 + -(-size // 512) * 512

@@ -5,6 +5,7 @@ import io
 import lzma
 import random
 import struct
+import tarfile
 import zlib
 
 import pytest
@@ -115,6 +116,39 @@ def test_tar_recovery_resyncs():
     assert recovered("TAR", bytes(write.tar_bytes(FILES)[:2560]))["docs/notes.txt"][0] == "PARTIAL"
 
 
+@pytest.mark.parametrize("kind", [tarfile.GNU_FORMAT, tarfile.PAX_FORMAT])
+def test_tar_recovery_keeps_long_names(kind):
+    names = ["d/" * 60 + x for x in ("one.txt", "two.txt")] + ["ü" * 70, "short.txt"]
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=kind) as t:
+        for i, n in enumerate(names):
+            info = tarfile.TarInfo(n)
+            info.size = 700 + i
+            t.addfile(info, io.BytesIO(bytes([65 + i]) * info.size))
+    got = [(n, c) for n, s, c, _, _ in recover.recover_one("a.tar", "TAR", out.getvalue())]
+    assert got == [(n, bytes([65 + i]) * (700 + i)) for i, n in enumerate(names)]
+
+
+def v7_tar(files):
+    out = b""
+    for name, body in files:
+        h = bytearray(name.encode().ljust(100, b"\0") + b"0000644\0" + b"0000000\0" * 2 + b"%011o\0" % len(body) + b"00000000000\0" + b" " * 8 + b"0").ljust(512, b"\0")
+        h[148:156] = b"%06o\0 " % sum(h)
+        out += bytes(h) + body + bytes(-len(body) % 512)
+    return out
+
+
+def test_v7_tar_recovery_resyncs():
+    files = [(f"f{i}", b"body %d" % i * 200) for i in range(5)]
+    data = bytearray(v7_tar(files))
+    size = len(data) // 5
+    data[size + 20 : size + 60] = b"\xff" * 40
+    # a ustar archive after it doesn't hide the headers between
+    for tail in (b"", write.tar_bytes([("last", b"x", 0)])):
+        got = {n: c for n, _, c, _, _ in recover.recover_one("a.tar", "TAR", bytes(data) + tail)}
+        assert got == {n: c for n, c in files if n != "f1"} | ({"last": b"x"} if tail else {})
+
+
 def test_stream_recovery():
     import bz2
     import random
