@@ -40,6 +40,8 @@ def _rock_ridge(data: bytes, area: bytes, out: dict, depth: int = 0) -> dict:
             out["mode"] = struct.unpack_from("<I", body)[0]
         elif kind == b"CL" and len(body) >= 4:
             out["child"] = struct.unpack_from("<I", body)[0]
+        elif kind == b"ZF" and len(body) >= 8:
+            out["packed"] = body[:2], struct.unpack_from("<I", body, 4)[0]
         elif kind == b"RE":
             out["moved"] = True
         elif kind == b"SL" and body:
@@ -63,8 +65,40 @@ def _rock_ridge(data: bytes, area: bytes, out: dict, depth: int = 0) -> dict:
     return out
 
 
+def _zisofs(raw: bytes, size: int) -> bytes:
+    """A zisofs file: a header, pointers to its blocks, each a zlib stream or, where it is empty, zeros."""
+    if len(raw) < 16 or raw[:8] != b"\x37\xe4\x53\x96\xc9\xdb\xd6\x07":
+        raise Corrupted("no zisofs header")
+    said, head, log = struct.unpack_from("<IBB", raw, 8)
+    if said != size or not 15 <= log <= 17:
+        raise Corrupted("bad zisofs header")
+    block, n = 1 << log, (size + (1 << log) - 1) >> log
+    if 4 * head + 4 * (n + 1) > len(raw):
+        raise Corrupted("zisofs pointers end early")
+    at = struct.unpack_from(f"<{n + 1}I", raw, 4 * head)
+    out = []
+    for i, (a, b) in enumerate(zip(at, at[1:])):
+        want = min(block, size - i * block)
+        if not a <= b <= len(raw):
+            raise Corrupted("bad zisofs pointer")
+        if a == b:
+            out.append(bytes(want))
+            continue
+        d = zlib.decompressobj()
+        try:
+            got = d.decompress(raw[a:b], want + 1)
+            # the checksum may still follow the last byte
+            got += d.decompress(d.unconsumed_tail, 1) if not d.eof and len(got) == want else b""
+        except zlib.error as x:
+            raise Corrupted(f"zisofs block {i}: {x}") from x
+        if len(got) != want or not d.eof:
+            raise Corrupted(f"zisofs block {i} has another size")
+        out.append(got)
+    return b"".join(out)
+
+
 def iso(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
-    """ISO 9660 with Joliet or Rock Ridge names; files of several extents are joined."""
+    """ISO 9660 with Joliet or Rock Ridge names; files of several extents are joined, zisofs files are inflated."""
     primary = joliet = None
     for sector in range(16, 64):
         d = data[sector * 2048 : sector * 2048 + 2048]
@@ -132,11 +166,20 @@ def iso(data: bytes, want: bool = True, **_) -> Iterator[Entry]:
                 continue
             link = "/".join(p.decode("utf-8", "replace") for p in rr["link"]) if "link" in rr else None
             e = Entry(prefix + name, len(pending) + length, modified=when, method="store", mode=mode & 0o7777 if mode else None, link_target=link)
-            if want and link is None:
+            how, size = rr.get("packed", (None, 0))
+            if how == b"pz":
+                e.uncompressed_size, e.compressed_size, e.method = size, len(pending) + length, "zisofs"
+            if how == b"pz" and size >= 1 << 31:
+                e.error = Unsupported("zisofs file over 2 GB")
+            elif how and how != b"pz":
+                e.error = Unsupported(f"ISO compression {how.decode('latin-1')}")
+            if want and link is None and e.error is None:
                 try:
                     e.content = pending + Bytes(data, start * 2048).take(length)
+                    if how:
+                        e.content = _zisofs(e.content, size)
                 except Corrupted as x:
-                    e.error = x
+                    e.content, e.error = None, x
             pending = b""
             yield e
 

@@ -251,6 +251,34 @@ def test_iso():
     assert got[1].modified == 1_700_000_000
 
 
+def test_iso_zisofs():
+    body = random.Random(2).randbytes(1000) * 33 + bytes(40_000) + b"end"
+    blocks = [body[i : i + 32768] for i in range(0, len(body), 32768)]
+    packed = [zlib.compress(x) if x.strip(b"\0") else b"" for x in blocks] + [b""]
+    at = [16 + 4 * len(packed) + sum(map(len, packed[:i])) for i in range(len(packed))]
+    raw = b"\x37\xe4\x53\x96\xc9\xdb\xd6\x07" + struct.pack("<IBBH", len(body), 4, 15, 0) + struct.pack(f"<{len(at)}I", *at) + b"".join(packed)
+
+    def image(kind, raw):
+        image = bytearray(iso_bytes())
+        at = 18 * 2048
+        for _ in range(3):  # B.BIN is the fourth record
+            at += image[at]
+        rr = b"RR\5\1\x81" + b"NM\x0a\1\0b.bin" + b"ZF\x10\1" + kind + bytes([4, 15]) + struct.pack("<I", len(body)) + struct.pack(">I", len(body))
+        record = bytearray(image[at : at + 33 + 7]) + rr
+        record += bytes(len(record) % 2)
+        record[0], record[2:10], record[10:18] = len(record), struct.pack("<I", 21) + struct.pack(">I", 21), struct.pack("<I", len(raw)) + struct.pack(">I", len(raw))
+        image[at : at + len(record)] = record
+        image[21 * 2048 :] = raw
+        return bytes(image) + bytes(-len(raw) % 2048)
+
+    e = list(discs.iso(image(b"pz", raw)))[-1]
+    assert (e.name, e.uncompressed_size, e.compressed_size, e.method, e.error) == ("b.bin", len(body), len(raw), "zisofs", None) and e.content == body
+    bad = list(discs.iso(image(b"pz", raw[:200] + bytes(50) + raw[250:])))[-1]
+    assert bad.content is None and isinstance(bad.error, Corrupted)
+    other = list(discs.iso(image(b"PZ", raw)))[-1]
+    assert other.content is None and isinstance(other.error, Unsupported)
+
+
 def test_lha_and_arj_stored():
     body, name = b"leaf\n", b"leaf.txt"
     head = b"-lh0-" + struct.pack("<III", 5, 5, 0x5821 << 16) + b"\x20\0" + bytes([len(name)]) + name + struct.pack("<H", windows._crc16(body))
