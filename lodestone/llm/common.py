@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors share, named by spark.checkpoint.dir. Where that is unset, a temporary folder serves
+    a session whose tasks run in the driver's own process; any other is refused, as its executors share no such folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,34 +38,57 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files and checkpoints that nothing refers to any more. It does so when the driver's
-    JVM collects its garbage, which a driver with little to do may put off for the length of a job."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the shared folder; Spark removes the files once nothing refers to them."""
+    """``df`` computed and kept in the shared folder. The files stay until the application's folder is cleared, or, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, until nothing refers to them."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
-class Table:
-    """A Parquet table in the shared folder: written once, read with column pruning, dropped explicitly."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark, self.schema = df.sparkSession, df.schema
-        self.path = f"{shared_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Shuffle files of the commands in the block go when a command ends, not when the driver's JVM collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+class Scratch:
+    """Parquet tables that an operator makes on its way, in the shared folder: each is written once, read with column
+    pruning by as few tasks as its size needs, and dropped by name; what is left goes at the end of a ``with`` block."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self._made = spark, 0
+        self.base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self._made}"
+        self._made += 1
+        with shuffles_dropped(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None:
+                self._delete(t._scratch)
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.base)
 
 
 def id_text(col) -> object:

@@ -48,6 +48,12 @@ TASK_ENTRIES = 4 << 20
 CELLS = 16
 #: One segment in so many has one-deletion neighbours in an allocated join.
 WIDE = 8
+#: Tasks among which the pairs of one leading class are dealt.
+SALTS = 256
+#: A class of more rows than this meets them by broadcast: there is at most one such class for so many rows.
+BIG_CLASS = 1 << 16
+#: Seeds (for hash collisions) and spreads (for sets in too few segments) that are tried; each fails with a chance far below 1 %.
+TRIES = 32
 PLAIN, HEAD, SHARED, EMPTY = range(4)
 
 
@@ -153,13 +159,10 @@ def _near(pairs: DataFrame, classes: DataFrame, spec: js.Spec) -> DataFrame:
     return map_arrow(both.select("a", "b", "na", "sa", "nb", "sb"), run, "a long, b long")
 
 
-def _sets(rows: DataFrame, classes: DataFrame, keys: DataFrame, spec: js.Spec) -> DataFrame:
+def _sets(rows: DataFrame, classes: DataFrame, keys: DataFrame, spec: js.Spec, scratch: common.Scratch) -> DataFrame:
     """key and set (ascending hashes, 8 bytes each) of the classes with the given keys."""
-    wanted = classes.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("id"))
-    wanted = common.checkpointed(wanted)
-    if wanted.count() * 64 <= common.BROADCAST_LIMIT:
-        wanted = F.broadcast(wanted)
-    picked = rows.join(wanted, "id").select("key", "text")
+    wanted = scratch.keep(classes.join(keys.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("id")))
+    picked = rows.join(F.broadcast(wanted) if wanted.count() * 64 <= common.BROADCAST_LIMIT else wanted, "id").select("key", "text")
 
     def run(batches):
         for batch in batches:
@@ -170,12 +173,18 @@ def _sets(rows: DataFrame, classes: DataFrame, keys: DataFrame, spec: js.Spec) -
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(same)), pa.array([w[at[i] : at[i + 1]].tobytes() for i in same], pa.binary())], names=["key", "set"])
 
     # an id that several rows share may bring a set twice
-    return map_arrow(picked, run, "key long, set binary").dropDuplicates(["key"])
+    out = scratch.keep(map_arrow(picked, run, "key long, set binary").dropDuplicates(["key"]))
+    scratch.drop(wanted)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    """The pairs that link, by their whole sets. A class that leads many pairs has its set copied to ``SALTS`` tasks at
+    most, and the pairs are dealt among them."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    led = pairs.join(sets.toDF("b", "sb"), "b").select("a", "b", "sb", salt)
+    leads = pairs.select("a", salt).distinct().join(sets.toDF("a", "sa"), "a")
+    both = led.join(leads, ["a", "salt"]).select("a", "b", "sa", "sb")
 
     def run(batches):
         for batch in batches:
@@ -191,30 +200,59 @@ def _verified(pairs: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """key and comp (smallest key that links reach) of every key in ``links`` (a, b): large stars and small stars in
-    turn, each a grouped minimum and a join, until the edges no longer change."""
-    edges = common.checkpointed(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct())
-    before = None
-    for _ in range(rounds):
-        both = edges.unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("hi")))
-        least = both.groupBy("lo").agg(F.min("hi").alias("m")).select("lo", F.least("lo", "m").alias("m"))
-        large = both.where("hi > lo").join(least, "lo").select(F.col("m").alias("lo"), "hi").where("lo <> hi").distinct()
-        down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        small = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = down.join(small, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").unionByName(small.select(F.col("m").alias("lo"), F.col("u").alias("hi"))).distinct()
-        edges = common.checkpointed(edges)
-        del both, least, large, down, small
-        common.tidy(edges.sparkSession)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    ends = edges.groupBy(F.col("hi").alias("key")).agg(F.min("lo").alias("comp"))
-    return ends.unionByName(edges.select(F.col("lo").alias("key"), F.col("lo").alias("comp")).distinct().join(ends.select("key"), "key", "left_anti"))
-
-
-def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFrame:
+def components(links: DataFrame, scratch: common.Scratch, base: DataFrame | None = None) -> DataFrame:
+    """key and comp (smallest key that links reach) of every key in ``links`` (a, b) and of every key in ``base``, the
+    components that earlier links gave.
+
+    Links become edges between the components of ``base``. In each round every node hooks to its smallest neighbour if
+    that is smaller, chains of hooks are halved until they are flat, and edges are contracted to the ends of the chains.
+    The largest node of an edge always hooks, so the rounds end when no edge is left."""
+    edges = links.select("a", "b")
+    if base is not None:
+        for end in ("a", "b"):
+            named = base.select(F.col("key").alias(end), F.col("comp").alias("_comp"))
+            edges = edges.join(named, end, "left").withColumn(end, F.coalesce("_comp", end)).drop("_comp")
+    tidy = lambda e: e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges, found = scratch.keep(tidy(edges)), None
+    while not edges.isEmpty():
+        ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = scratch.keep(ends.groupBy(F.col("a").alias("key")).agg(F.least(F.min("a"), F.min("b")).alias("comp")).withColumn("moved", F.lit(False)))
+        while True:
+            up = hooks.select(F.col("key").alias("comp"), F.col("comp").alias("_up"))
+            flat = scratch.keep(hooks.select("key", "comp").join(up, "comp").select("key", F.col("_up").alias("comp"), (F.col("_up") != F.col("comp")).alias("moved")))
+            scratch.drop(hooks)
+            hooks = flat
+            if hooks.where("moved").isEmpty():
+                break
+        hooks = hooks.select("key", "comp")
+        before, contracted = edges, edges
+        for end in ("a", "b"):
+            contracted = contracted.join(hooks.select(F.col("key").alias(end), F.col("comp").alias("_comp")), end).withColumn(end, F.col("_comp")).drop("_comp")
+        edges = scratch.keep(tidy(contracted))
+        if found is not None:
+            found, last = scratch.keep(_composed(found, hooks)), found
+            scratch.drop(last, flat)
+        else:
+            found = flat.select("key", "comp")
+            found._scratch = flat._scratch
+        scratch.drop(before)
+    scratch.drop(edges)
+    if found is None:
+        return base if base is not None else links.sparkSession.createDataFrame([], "key long, comp long")
+    if base is None:
+        return found
+    out = scratch.keep(_composed(base, found))
+    scratch.drop(found)
+    return out
+
+
+def _composed(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(key, comp) of ``first`` with its components renamed as ``then`` says, and the keys that only ``then`` has."""
+    renamed = first.join(then.select(F.col("key").alias("comp"), F.col("comp").alias("_comp")), "comp", "left").select("key", F.coalesce("_comp", "comp").alias("comp"))
+    return renamed.unionByName(then.join(first.select("key"), "key", "left_anti").select("key", "comp"))
+
+
+def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec, scratch: common.Scratch) -> DataFrame:
     """Candidate pairs of different components among (key, scheme, comp) rows by subsets and one-deletion
     neighbourhoods with allocated costs. A pair is found from its larger set: as it can differ from a smaller one in
     no more shingles than two of its size, its allowance need only exceed that.
@@ -233,7 +271,7 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([len(x) for x in w], pa.int64()), *(pa.array(parity[:, i]) for i in range(CELLS)), batch.column(3)], names=["key", "scheme", "comp", "n", *cells, "set"])
 
     # a row for each set: what bounds a pair's difference (the index has the same columns)
-    rows = common.checkpointed(map_arrow(rows, outline, "key long, scheme int, comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", set binary"))
+    rows = scratch.keep(map_arrow(rows, outline, "key long, scheme int, comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", set binary"))
     outlines = rows.drop("set")
     small = F.broadcast if outlines.count() * 8 * (CELLS + 4) <= common.BROADCAST_LIMIT else lambda df: df
 
@@ -261,14 +299,15 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
                 )
 
     schema = "comp long, n long, " + ", ".join(f"{c} long" for c in cells) + ", key long, scheme int, seg int, cut int, wide boolean, h long"
-    spread = 0
-    while True:  # another spread in the event that a set's shingles share too few segments for its allowance
-        index = common.checkpointed(map_arrow(rows, partial(neighbours, spread=spread), schema))
+    for spread in range(TRIES):  # another spread in the event that a set's shingles share too few segments for its allowance
+        index = scratch.keep(map_arrow(rows, partial(neighbours, spread=spread), schema))
         gain = F.count_if(F.col("cut") == 0) + F.count_distinct(F.when(F.col("cut") == 1, F.col("seg")))
         need = F.floor(2 * F.col("n") * (spec.den - spec.num) / (spec.den + spec.num)) + 1
         if index.groupBy("key", "scheme", "n").agg(gain.alias("gain")).where(F.col("gain") < need).isEmpty():
             break
-        spread += 1
+        scratch.drop(index)
+    else:
+        raise RuntimeError("no spread gives every set the segments that its allowance needs")
     # what a probe meets: level 0 the equal subsets; level 1 also sets with one shingle more or one fewer
     subset, wide = index.where("cut = 0"), index.where("wide")
     probes = subset.select("key", "scheme", "n", "seg", F.lit(0).alias("level"), "h", F.lit(0).alias("meets"))
@@ -305,25 +344,26 @@ def _allocated(exceeding: DataFrame, sets: DataFrame, spec: js.Spec) -> DataFram
     return met.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
 
 
-def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFrame) -> DataFrame:
+def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFrame, scratch: common.Scratch) -> DataFrame:
     """Components of linked classes: (key, comp) for those that link with another; rows: id, text."""
     spark = rows.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_tasks = max(width, n_entries // TASK_ENTRIES + 1)
-    blocks = _blocks(rows, spec, 4 * n_tasks).repartition(n_tasks, "part")
-    found = common.checkpointed(map_arrow(blocks, _shared, "kind byte, sig long, key long"))
-    entries = common.checkpointed(found.where(F.col("kind") == PLAIN).select("sig", "key").distinct())
-    del blocks
-    common.tidy(spark)
+    found = scratch.keep(map_arrow(_blocks(rows, spec, 4 * n_tasks).repartition(n_tasks, "part"), _shared, "kind byte, sig long, key long"))
+    # a class that copies brought into several slices may stand twice in a signature; all counts that decide are distinct
+    entries = found.where(F.col("kind") == PLAIN).select("sig", "key")
+    ends = lambda near: near.select(F.explode(F.array("a", "b")).alias("key"))
 
     # every class against the class that leads most of its signatures
-    lead = entries.groupBy("sig").agg(F.min("key").alias("a"))
+    lead = scratch.keep(entries.groupBy("sig").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("sig", "a"))
     votes = entries.join(lead, "sig").where("a <> key").groupBy("key", "a").agg(F.count("*").alias("n"))
     pairs = votes.groupBy(F.col("key").alias("b")).agg(F.max_by("a", F.struct("n", "a")).alias("a")).select("a", "b")
-    near = common.checkpointed(_near(pairs, classes, spec))
-    sets = _sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("key")), spec)
-    links = common.checkpointed(_verified(near, sets, spec))
-    comps = common.checkpointed(components(links))
+    near = scratch.keep(_near(pairs, classes, spec))
+    scratch.drop(lead)
+    sets = _sets(rows, classes, ends(near), spec, scratch)
+    links = [scratch.keep(_verified(near, sets, spec))]
+    scratch.drop(near, sets)
+    comps = components(links[0], scratch)
 
     # signatures that still join several components: compared out where they are small; in the others the components'
     # leaders (the first, then the last of each component) are compared, which merges what belongs together
@@ -331,27 +371,30 @@ def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFr
     for turn in range(3):
         leader = (F.min, F.max, F.min)[turn]
         placed = left.join(comps, "key", "left").select("sig", "key", F.coalesce("comp", "key").alias("comp"))
-        sizes = placed.groupBy("sig", "comp").agg(F.count("*").alias("c"), leader("key").alias("leader"))
+        sizes = placed.distinct().groupBy("sig", "comp").agg(F.count("*").alias("c"), leader("key").alias("leader"))
         main = sizes.groupBy("sig").agg(F.max_by(F.struct("comp", "leader"), F.struct("c", "comp")).alias("main"), (F.sum("c") - F.max("c")).alias("minor")).where("minor > 0")
-        main = main.select("sig", "main.comp", "main.leader", "minor").toDF("sig", "main", "main_leader", "minor")
-        open_ = common.checkpointed(placed.join(main, "sig"))
+        main = scratch.keep(main.select("sig", "main.comp", "main.leader", "minor").toDF("sig", "main", "main_leader", "minor"))
+        open_ = scratch.keep(placed.join(main, "sig").distinct())
+        scratch.drop(main, left if turn else None)
         small = open_.where(F.col("minor") <= MINOR)
         few = small.where("comp <> main").select("sig", F.col("key").alias("x"), F.col("comp").alias("cx"))
         # the rows of this join are at most MINOR times the entries
         rest = few.join(small.select("sig", F.col("key").alias("y"), F.col("comp").alias("cy")), "sig").where("cx <> cy")
         pairs = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        left = open_.where(F.col("minor") > MINOR)
+        large = open_.where(F.col("minor") > MINOR)
         if turn < 2:
-            leaders = left.where("comp <> main").groupBy("sig", "comp").agg(leader("key").alias("x"), F.first("main_leader").alias("y"))
+            leaders = large.where("comp <> main").groupBy("sig", "comp").agg(leader("key").alias("x"), F.first("main_leader").alias("y"))
             pairs = pairs.unionByName(leaders.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        near = common.checkpointed(_near(pairs.distinct(), classes, spec))
-        if turn < 2:
-            sets = _sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("key")), spec)
-            links = common.checkpointed(links.unionByName(_verified(near, sets, spec)).distinct())
-            comps = common.checkpointed(components(links))
-            left = common.checkpointed(left.select("sig", "key"))
-            del placed, sizes, main, open_, small, few, rest, pairs, leaders, sets
-            common.tidy(spark)
+        near = scratch.keep(_near(pairs.distinct(), classes, spec))
+        if not near.isEmpty():
+            sets = _sets(rows, classes, ends(near), spec, scratch)
+            links.append(scratch.keep(_verified(near, sets, spec)))
+            comps, last = components(links[-1], scratch, comps), comps
+            scratch.drop(sets, None if comps is last else last)
+        left = scratch.keep(large.select("sig", "key"))
+        scratch.drop(near, open_)
+        if left.isEmpty():
+            break
 
     # sets with more left-out or empty segments than their scheme can spare
     scheme = F.col("sig").bitwiseAND((1 << js.SCHEME_BITS) - 1).cast("int")
@@ -364,32 +407,40 @@ def link_classes(rows: DataFrame, spec: js.Spec, n_entries: int, classes: DataFr
     partner = F.least(at_scheme(spec.bounds[1:] - 1), F.floor(F.col("size") * spec.den / spec.num))
     spare = at_scheme(spec.segments(schemes)) - 1 - F.floor((F.col("size") + partner) * (spec.den - spec.num) / (spec.den + spec.num))
     counts = out.unionByName(gaps).groupBy("key", "scheme").agg(F.sum("n").alias("n")).where(F.col("n") >= at_scheme(spec.spare(schemes)))
-    exceeding = common.checkpointed(counts.join(classes.select("key", F.col("n").alias("size")), "key").where(F.col("n") > spare).select("key", "scheme"))
-    sets = common.checkpointed(_sets(rows, classes, near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(exceeding.select("key")), spec))
+    exceeding = scratch.keep(counts.join(classes.select("key", F.col("n").alias("size")), "key").where(F.col("n") > spare).select("key", "scheme"))
+    scratch.drop(found, left)
     if not exceeding.isEmpty():
+        sets = _sets(rows, classes, exceeding, spec, scratch)
         placed = exceeding.join(comps, "key", "left").select("key", "scheme", F.coalesce("comp", "key").alias("comp"))
-        more = _allocated(placed, sets, spec)
-        near = common.checkpointed(near.unionByName(_near(more, classes, spec)).distinct())
-        del more, placed
-    common.tidy(spark)
-    return components(links.unionByName(_verified(near, sets, spec)))
+        near = scratch.keep(_near(_allocated(placed, sets, spec, scratch), classes, spec))
+        comps = components(_verified(near, sets, spec), scratch, comps)
+    return comps
 
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """For every document: id, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
-    seed = 0
-    while True:  # another seed in the event that two sets have one 64-bit key, which the check hash shows
-        spec = js.Spec(words, num, den, seed)
-        own = common.checkpointed(members(docs, spec, id_col=id_col, text_col=text_col))
-        usable = own.where("key is not null and id is not null")
-        classes = common.checkpointed(usable.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count_if(F.lit(True)).alias("rows"), F.min("check").alias("c1"), F.max("check").alias("c2")))
-        stats = classes.agg(F.count_if(F.expr("c1 <> c2")).alias("bad"), F.sum("n").alias("n")).first()
-        if not stats["bad"]:
-            break
-        seed += 1
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    comps = link_classes(rows, spec, int((stats["n"] or 0) * 0.36), classes)
-    grouped = classes.select("key", "rep").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    smallest = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(smallest, "comp").select("key", "component_id")
-    return own.select("id", "n", "key").join(named, "key", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    with common.Scratch(docs.sparkSession, "jaccard") as scratch:
+        for seed in range(TRIES):  # another seed in the event that two sets have one 64-bit key, which the check hash shows
+            spec = js.Spec(words, num, den, seed)
+            own = scratch.keep(members(docs, spec, id_col=id_col, text_col=text_col))
+            usable = own.where("key is not null and id is not null")
+            classes = scratch.keep(usable.groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.count_if(F.lit(True)).alias("rows"), F.min("check").alias("c1"), F.max("check").alias("c2")))
+            stats = classes.agg(F.count_if(F.expr("c1 <> c2")).alias("bad"), F.sum("n").alias("n")).first()
+            if not stats["bad"]:
+                break
+            scratch.drop(own, classes)
+        else:
+            raise RuntimeError("every seed gave two sets one key")
+        rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+        comps = link_classes(rows, spec, int((stats["n"] or 0) * 0.36), classes, scratch)
+        grouped = classes.select("key", "rep", "rows").join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        smallest = grouped.groupBy("comp").agg(F.min("rep").alias("component_id"))
+        named = scratch.keep(grouped.join(smallest, "comp").select("key", "component_id", "rows"))
+        # rows without a set, rows of the few large classes, and the rest
+        own, big = own.select("id", "n", "key"), F.broadcast(named.where(F.col("rows") > BIG_CLASS).drop("rows"))
+        sets = own.where("key is not null")
+        rest = sets.join(big.select("key"), "key", "left_anti").join(named.where(F.col("rows") <= BIG_CLASS).drop("rows"), "key", "left")
+        parts = own.where("key is null").withColumn("component_id", F.col("id")).unionByName(sets.join(big, "key")).unionByName(rest)
+        # a row with a null id belongs to a class only if others have its set
+        with common.shuffles_dropped(docs.sparkSession):
+            return common.checkpointed(parts.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id")))
