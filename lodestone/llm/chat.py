@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEP, END, NL = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|nl|>"
+#: Runs of a mask that are looked up together.
+PAGE = 256
 
 
 def escape(c: Column) -> Column:
@@ -43,31 +45,21 @@ def format_conversations(rows: DataFrame, *, conv="conv_id", turn="turn", role="
     turns = rows.groupBy(F.col(conv).alias("conv_id")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))).alias("turns")
     )
-    # block starts: the first turn, and each whose role differs from the turn before
-    starts = turns.select(
-        "conv_id", "turns",
-        F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", F.greatest(i - 1, F.lit(0)))["role"])).alias("starts"),
-    )
-    blocks = starts.select(
-        "conv_id",
-        F.transform(
-            "starts",
-            lambda s, k: F.struct(
-                F.get("turns", s)["role"].alias("role"),
-                F.transform(F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - s), lambda t: escape(t["text"])).alias("texts"),
-            ),
-        ).alias("blocks"),
-    )
-    # the runs of a block: its opening marks, then its texts with marks between them, then its end
-    runs = F.transform(
-        "blocks",
-        lambda b: F.concat(
-            F.array(F.struct(F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n")).alias("s"), F.lit(False).alias("loss"))),
-            F.flatten(F.transform(b["texts"], lambda t, i: F.array(F.struct(F.when(i > 0, F.lit(SEP)).otherwise(F.lit("")).alias("s"), F.lit(False).alias("loss")), F.struct(t.alias("s"), (b["role"] == loss_role).alias("loss"))))),
-            F.array(F.struct(F.lit(END + "\n").alias("s"), F.lit(False).alias("loss"))),
-        ),
-    )
-    return blocks.select("conv_id", F.flatten(runs).alias("runs")).select(
+    # turns of one role next to each other are merged: the first opens the block, the last closes it, and a turn between
+    # has a mark in front. Only neighbours are looked at, so a conversation takes time in proportion to its length.
+    role_at = lambda i: F.get("turns", i)["role"]
+    mark = lambda c: F.struct(c.alias("s"), F.lit(False).alias("loss"))
+
+    def runs_of(t: Column, i: Column) -> Column:
+        opens = (i == 0) | (role_at(F.greatest(i - 1, F.lit(0))) != t["role"])
+        closes = F.coalesce(role_at(i + 1) != t["role"], F.lit(True))
+        own = F.array(
+            mark(F.when(opens, F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))).otherwise(F.lit(SEP))),
+            F.struct(escape(t["text"]).alias("s"), (t["role"] == loss_role).alias("loss")),
+        )
+        return F.concat(own, F.when(closes, F.array(mark(F.lit(END + "\n")))).otherwise(F.array().cast("array<struct<s:string,loss:boolean>>")))
+
+    return turns.select("conv_id", F.flatten(F.transform("turns", runs_of)).alias("runs")).select(
         "conv_id",
         F.array_join(F.col("runs.s"), "").alias("formatted"),
         F.transform("runs", lambda r: F.struct(F.length(r["s"]).cast("long").alias("length"), r["loss"].alias("loss"))).alias("loss_mask"),
@@ -87,11 +79,23 @@ def turns_of(formatted: Column) -> Column:
 
 
 def loss_texts(formatted: Column, loss_mask: Column) -> Column:
-    """The unescaped texts of a formatted string that lie under the loss mask, in order."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<at:bigint,length:bigint>>").alias("spans"))
-
-    def add(a: Column, r: Column) -> Column:
-        span = F.array(F.struct(a["at"].alias("at"), r["length"].alias("length")))
-        return F.struct((a["at"] + r["length"]).alias("at"), F.when(r["loss"], F.concat(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    return F.transform(F.aggregate(loss_mask, start, add)["spans"], lambda s: unescape(F.substr(formatted, s["at"].cast("int"), s["length"].cast("int"))))
+    """The unescaped texts of a formatted string that lie under the loss mask, in order.
+
+    The mask is taken in pages of ``PAGE`` runs. Each page finds its part of the string once, and its spans within that
+    part, so that neither spans nor offsets are looked for from the start of a long conversation."""
+    n = F.size(loss_mask)
+    pages = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / PAGE).cast("int")), lambda k: F.slice(loss_mask, k.cast("int") * PAGE + 1, F.lit(PAGE)))
+    none = F.array().cast("array<string>")
+    lengths = F.transform(pages, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, r: a + r["length"]))
+    first = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate(lengths, first, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")))["starts"]
+    parts = F.transform(F.arrays_zip(pages.alias("runs"), lengths.alias("length"), starts.alias("at")), lambda p: F.struct(p["runs"].alias("runs"), F.substr(formatted, p["at"].cast("int"), p["length"].cast("int")).alias("text")))
+
+    def spans(p: Column) -> Column:
+        def add(a: Column, r: Column) -> Column:
+            span = F.array(F.substr(p["text"], a["at"].cast("int"), r["length"].cast("int")))
+            return F.struct((a["at"] + r["length"]).alias("at"), F.when(r["loss"], F.concat(a["found"], span)).otherwise(a["found"]).alias("found"))
+
+        return F.aggregate(p["runs"], F.struct(F.lit(1).cast("long").alias("at"), none.alias("found")), add)["found"]
+
+    return F.transform(F.flatten(F.transform(parts, spans)), unescape)

@@ -18,6 +18,8 @@ from ..shipping import map_arrow
 
 #: Broadcasts and driver-side tables are only made below this many bytes.
 BROADCAST_LIMIT = 64 << 20
+#: Features of sampled rows that fitting takes to the driver (expected).
+FEATURE_BYTES = 192 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,8 +113,12 @@ def labelled_sample(labels: DataFrame, key: str, label: str, max_rows: int, keep
     return t
 
 
-def sparse_rows(sample: DataFrame, docs: DataFrame, key: str, text: str, features, extra=()) -> pa.Table:
-    """Hashed features of the sampled documents, made on the executors: a row (_id, _y, idx, val) for each."""
+def sparse_rows(sample: DataFrame, docs: DataFrame, key: str, text: str, features, extra=(), max_bytes: int = FEATURE_BYTES) -> pa.Table:
+    """Hashed features of the sampled documents, made on the executors: a row (_id, _y, idx, val) for each.
+
+    Only ``max_bytes`` of features (expected) reach the driver: the features stay in the shared folder until their sum is
+    known, and where it is larger, the share of rows that fits is taken by a hash of the id and the features. Repeated rows of an id count
+    once if their features are equal."""
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), *extra).join(F.broadcast(sample), "_id")
 
     def run(batches):
@@ -126,8 +132,13 @@ def sparse_rows(sample: DataFrame, docs: DataFrame, key: str, text: str, feature
                     names=["_id", "_y", "idx", "val"],
                 )
 
-    out = map_arrow(rows, run, "_id string, _y int, idx array<int>, val array<float>").toArrow()
-    return out.sort_by([("_id", "ascending"), ("_y", "ascending")])
+    with Scratch(docs.sparkSession, "features") as scratch:
+        made = scratch.keep(map_arrow(rows, run, "_id string, _y int, idx array<int>, val array<float>").withColumn("_h", F.xxhash64("idx", "val")).dropDuplicates(["_id", "_y", "_h"]))
+        size = made.agg(F.sum(8 * F.size("idx") + 16)).first()[0] or 0
+        if size > max_bytes:
+            made = made.where(F.pmod(F.xxhash64("_id", "_h"), F.lit(1 << 30)) < F.lit(int((1 << 30) * max_bytes / size)))
+        out = made.toArrow()
+    return out.sort_by([("_id", "ascending"), ("_y", "ascending"), ("_h", "ascending")])
 
 
 def csr(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -7,7 +7,8 @@ window is joined. A match gives the window's only possible place; positional and
 inside the document) come first, then exact equality of the item-sized slice of words.
 
 Both joins are against tables made from the benchmark alone. They are broadcast while the benchmark has at most
-``broadcast_windows`` windows and shuffled beyond that; plan and result are otherwise the same. Documents are read
+``broadcast_windows`` windows of a bounded number of bytes and shuffled beyond that, when a filter of 8 MB first leaves
+out positions whose shingle is in no window; the result is the same. Documents are read
 twice, once to count and once to match; only hits, and one row for each document, are shuffled. No text is.
 
 Defined results: a null or empty text has no words and no hit; an item without words has no window; repeated item
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 WINDOW = 10
 SHINGLE = 3
 BROADCAST_WINDOWS = 200_000
+MARKS = 4096
+#: Words of 64 bits in the token filter of a shuffled match, as a power of two.
+FILTER_BITS = 20
 #: ASCII other than digits and lower-case letters, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,10 +57,26 @@ def windows(benchmark: DataFrame, *, item_col="item_id", text_col="text", window
     )
 
 
-def _positions(docs: DataFrame, sizes: list[int], carry: list[str]) -> DataFrame:
+def _mark(number: Column) -> Column:
+    """The word that marks a document itself: a space, which no word has, and one of ``MARKS`` numbers, so that
+    documents that are shuffled meet in as many tasks."""
+    return F.concat(F.lit(" "), F.pmod(number, F.lit(MARKS)).cast("string"))
+
+
+def _in_filter(tokens: DataFrame) -> Column:
+    """Whether ``token`` may be in a table of tokens: a bit for each hash among 2^26 of them, 8 MB whatever the table's
+    size, made by aggregation and read as a scalar subquery. False positives only cost the rows that a join drops."""
+    place, bit = F.shiftrightunsigned("token", 64 - FILTER_BITS), F.shiftrightunsigned("token", 32).bitwiseAND(F.lit(63)).cast("int")
+    held = tokens.groupBy(place.alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(token, 32) & 63 as int))")).alias("bits"))
+    all_ = tokens.sparkSession.range(1 << FILTER_BITS).join(held, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bits = all_.agg(F.array_sort(F.collect_list("x")).alias("x")).select("x.bits").scalar()
+    return F.getbit(F.get(bits, place.cast("int")), bit) == 1
+
+
+def _positions(docs: DataFrame, sizes: list[int], carry: list[str], mark: Column) -> DataFrame:
     """A row for each word of each document with the hashes of the shingles that start there, and a last row whose
-    word is a space, which marks the document itself."""
-    base = docs.select(*carry, F.concat(words(F.col("_text")), F.array(F.lit(" "))).alias("w"))
+    word is the document's mark."""
+    base = docs.select(*carry, F.concat(words(F.col("_text")), F.array(mark)).alias("w"))
     at = base.select(*carry, "w", F.posexplode("w").alias("at", "_word"))
     one = [_shingle(F.col("w"), F.col("at"), k) for k in sizes]
     return at.select(*carry, "w", "at", (F.explode(F.array(*one)) if len(one) > 1 else one[0]).alias("token"))
@@ -65,11 +85,12 @@ def _positions(docs: DataFrame, sizes: list[int], carry: list[str]) -> DataFrame
 def match(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """For every document: ``n_words``, ``spans`` (start and length of each window found, sorted) and ``items``
     (sorted ids of the items with a window in it), with the row's own number ``_row``."""
-    from .common import checkpointed
+    from .common import BROADCAST_LIMIT, checkpointed
 
     wins = checkpointed(windows(benchmark, item_col=item_col, text_col=item_text_col, window=window).withColumn("wid", F.monotonically_increasing_id()))
-    n_windows = wins.count()
-    small = (lambda df: F.broadcast(df)) if n_windows <= broadcast_windows else (lambda df: df)
+    size = wins.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("win", " ")) + F.octet_length(F.array_join("items", " ")) + 8 * F.size("items") + 256).alias("bytes")).first()
+    few = size["n"] <= broadcast_windows and (size["bytes"] or 0) <= BROADCAST_LIMIT
+    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     sizes = [r[0] for r in wins.select(F.least("len", F.lit(shingle)).alias("k")).distinct().orderBy("k").collect()] or [shingle]
     k_of = F.least(F.col("len"), F.lit(shingle))
 
@@ -78,25 +99,30 @@ def match(docs: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_col="t
     token = F.coalesce(*[F.when(k_of == k, _shingle(F.col("win"), F.col("off"), k)) for k in sizes])
     inner = inner.select("wid", "off", token.alias("token"))
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    counts = _positions(rows, sizes, []).select("token").join(small(inner.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
+    counted = _positions(rows, sizes, [], F.lit(" ")).select("token")
+    if not few:
+        counted = counted.where(_in_filter(inner.select("token")))
+    counts = counted.join(small(inner.select("token").distinct()), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = (
         inner.join(counts, "token", "left")
         .groupBy("wid")
         .agg(F.min_by(F.struct("token", "off"), F.struct(F.coalesce("n", F.lit(0)), "off")).alias("best"))
         .select("wid", "best.token", "best.off")
     )
-    mark = _shingle(F.array(F.lit(" ")), F.lit(0), sizes[0])
+    mark = _shingle(F.array(_mark(F.col("id"))), F.lit(0), sizes[0])
     # every shingle size gives a document's mark another hash; that of the first size is used
     index = rarest.join(wins, "wid").select("token", "off", "len", "win", "items")
-    index = index.unionByName(docs.sparkSession.range(1).select(mark.alias("token"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items")))
+    index = index.unionByName(docs.sparkSession.range(MARKS).select(mark.alias("token"), F.lit(0).alias("off"), F.lit(0).alias("len"), F.array().cast("array<string>").alias("win"), F.array().cast("array<string>").alias("items")))
 
-    at = _positions(rows, sizes, ["_row", "_id"]).withColumn("n_words", F.size("w") - 1)
-    if n_windows > broadcast_windows:  # rows that are shuffled carry the words that a window can reach, not the document
+    index = checkpointed(index)
+    at = _positions(rows, sizes, ["_row", "_id"], _mark(F.xxhash64("_row"))).withColumn("n_words", F.size("w") - 1)
+    if not few:  # rows that are shuffled may match, and carry the words that a window can reach, not the document
+        at = at.where(_in_filter(index.select("token")))
         first = F.greatest(F.col("at") - (window - 1), F.lit(0))
         at = at.withColumn("first", first).withColumn("w", F.slice("w", F.col("first") + 1, F.lit(2 * window - 1)))
     else:
         at = at.withColumn("first", F.lit(0))
-    p, i = at.alias("p"), checkpointed(index).alias("i")
+    p, i = at.alias("p"), index.alias("i")
     start = F.col("p.at") - F.col("i.off")
     n_words = F.col("p.n_words")
     holds = (start >= 0) & (start + F.col("i.len") <= n_words) & ((F.col("i.len") == 0) & (F.col("p.at") == n_words) | (F.slice("p.w", start - F.col("p.first") + 1, F.col("i.len")) == F.col("i.win")) & (F.col("i.len") > 0))

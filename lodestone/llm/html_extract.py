@@ -20,9 +20,11 @@ ignored.
 from __future__ import annotations
 
 import html
+import random
 import re
 import zlib
-from functools import cache
+from collections import Counter
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,18 +55,46 @@ _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 _PART = re.compile(r"[a-z]+")
 
 
-def _path_words(stack) -> tuple[str, ...]:
-    out = []
-    for depth, (tag, names) in enumerate(stack):
-        if tag in ("html", "body"):
-            continue
-        out.append(tag)
-        out += [f".{n}" for n in names]
-        if depth:
-            out.append(f"{stack[depth - 1][0]}>{tag}")
-    if stack:
-        out.append(f"leaf:{stack[-1][0]}")
-    return tuple(out)
+@lru_cache(1 << 16)
+def _path_id(word: str) -> int:
+    return zlib.crc32(word.encode()) % PATH_ROWS
+
+
+class _Open:
+    """The open elements of a page, and how often each path id stands among them: what a path costs doesn't hang on how
+    deep it is, only on how many different ids it has (at most ``PATH_ROWS``)."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.own: list[list[int]] = []
+        self.ids: Counter[int] = Counter()
+        self.count: Counter[str] = Counter()
+
+    def push(self, tag: str, names) -> None:
+        ids = []
+        if tag not in ("html", "body"):
+            ids = [_path_id(tag), *(_path_id(f".{n}") for n in names)]
+            if self.tags:
+                ids.append(_path_id(f"{self.tags[-1]}>{tag}"))
+        self.tags.append(tag)
+        self.own.append(ids)
+        self.ids.update(ids)
+        self.count[tag] += 1
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from a depth on."""
+        while len(self.tags) > depth:
+            self.count[self.tags.pop()] -= 1
+            for i in self.own.pop():
+                self.ids[i] -= 1
+                if not self.ids[i]:
+                    del self.ids[i]
+
+    def path(self) -> tuple[int, ...]:
+        ids = set(self.ids)
+        if self.tags:
+            ids.add(_path_id(f"leaf:{self.tags[-1]}"))
+        return tuple(sorted(ids)) or (0,)
 
 
 def _closed(page: str, name: str) -> dict[int, int]:
@@ -79,11 +109,11 @@ def _closed(page: str, name: str) -> dict[int, int]:
     return ends
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """Leaf blocks of a page in order: path words, text, code points inside links."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    path: tuple[str, ...] | None = None
+def blocks(page: str) -> list[tuple[tuple[int, ...], str, int]]:
+    """Leaf blocks of a page in order: hashed path words, text, code points inside links."""
+    out: list[tuple[tuple[int, ...], str, int]] = []
+    stack = _Open()
+    path: tuple[int, ...] | None = None
     text: list[str] = []
     linked, in_link, at, end = 0, False, 0, len(page)
     closed: dict[str, dict[int, int]] = {}
@@ -94,7 +124,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
                 if path is None:
-                    path = _path_words(stack)
+                    path = stack.path()
                 out.append((path, line, linked))
         text, linked = [], 0
 
@@ -131,35 +161,30 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             in_link = False
             path = None
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+                if stack.count[name]:
+                    stack.cut(len(stack.tags) - 1 - stack.tags[::-1].index(name) if stack.tags[-1] != name else len(stack.tags) - 1)
             elif name not in VOID:
-                if stack and stack[-1][0] == "p":  # no block can be inside a paragraph
-                    stack.pop()
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in CLOSES.get(name, ()):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPE:
-                        break
+                if stack.tags and stack.tags[-1] == "p":  # no block can be inside a paragraph
+                    stack.cut(len(stack.tags) - 1)
+                ended = CLOSES.get(name, ())
+                if any(stack.count[t] for t in ended):
+                    for i in range(len(stack.tags) - 1, -1, -1):
+                        if stack.tags[i] in ended:
+                            stack.cut(i)
+                            break
+                        if stack.tags[i] in SCOPE:
+                            break
                 names = tuple(w for g in _NAMES.findall(rest) for w in _PART.findall("".join(g).lower())) if rest else ()
-                stack.append((name, names))
+                stack.push(name, names)
     flush()
     return out
 
 
-@cache
-def _path_ids(path: tuple[str, ...]) -> np.ndarray:
-    return np.unique(np.array([zlib.crc32(p.encode()) % PATH_ROWS for p in path] or [0]))
-
-
 def encode(pages: list[list[tuple[tuple[str, ...], str, int]]]):
     """Vectors' indexes of all blocks of some pages, one page after another: path ids, word ids (both with offsets),
     shapes."""
     flat = [b for page in pages for b in page]
-    ids = [_path_ids(b[0]) for b in flat]
+    ids = [np.array(b[0], np.int64) for b in flat]
     path_at = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
     buf, offs = tk.load(pa.array([b[1] for b in flat], pa.large_string()))
     low = tk.LOWER[buf]
@@ -298,10 +323,22 @@ NAMES = {
 NAMES = {k: v.split() for k, v in NAMES.items()}
 
 
+class _Dice:
+    """Seeded draws that cost less than a numpy generator's when they are made one at a time."""
+
+    def __init__(self, seed: int):
+        self.random = random.Random(seed).random
+
+    def integers(self, lo: int, hi: int | None = None) -> int:
+        if hi is None:
+            lo, hi = 0, lo
+        return lo + int(self.random() * (hi - lo))
+
+
 class _Page:
     """One generated page and the labels of its leaf blocks."""
 
-    def __init__(self, g: np.random.Generator):
+    def __init__(self, g: _Dice):
         self.g, self.html, self.labels = g, [], []
         self.title = self.words(3, 12)
 
@@ -548,7 +585,7 @@ class _Page:
 
 def generated(n: int, seed: int = 3) -> list[tuple[list, np.ndarray]]:
     """Blocks and labels of generated pages."""
-    g, out = np.random.default_rng(seed), []
+    g, out = _Dice(seed), []
     while len(out) < n:
         page, labels = _Page(g).build()
         got = blocks(page)

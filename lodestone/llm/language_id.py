@@ -42,8 +42,12 @@ LEAST = 4096
 #: Compressors of cut dictionaries that a model keeps.
 KEPT = 64
 DOCS_PER_LANG = 400
+#: A language with fewer sampled passages keeps them all: their halves say too little to judge each other.
+FEW = 8
+#: Languages learned: those with the most documents that aren't held out.
+MAX_LANGS = 512
 MIN_MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -52,6 +56,11 @@ def held_out(col):
     return F.crc32(col.cast("string").cast("binary")) % 4 == 2
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode category L is in the text (other numerals, as in fractions, are no letters)."""
+    return any(m.group().isalpha() for m in _WORD.finditer(text))
+
+
 def _plain(text: str) -> bytes:
     return f" {_OTHER.sub(' ', text.lower()).strip()} ".encode()
 
@@ -105,7 +114,7 @@ class LanguageModel:
         return got
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
-        if text is None or not self.dictionaries or not _LETTER.search(text):
+        if text is None or not self.dictionaries or not has_letter(text):
             return "und", 0.0, 0.0
         names = list(self.dictionaries)
         if len(names) == 1:
@@ -145,7 +154,7 @@ class LanguageModel:
         return names[best], 1 / p, max(margin, 0.0)
 
 
-def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang: int = DOCS_PER_LANG) -> LanguageModel:
+def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", docs_per_lang: int = DOCS_PER_LANG, max_langs: int = MAX_LANGS) -> LanguageModel:
     """Dictionaries from at most about ``docs_per_lang`` documents of each language that aren't held out.
 
     The share taken of each language follows from its count, so that a language with most of the rows is sampled where
@@ -157,14 +166,18 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     tops = [4 * passage]
     while tops[-1] < 4 * DICT_BYTES:
         tops.append(2 * tops[-1])
-    found = usable.groupBy("_lang").agg(F.count("*").alias("n"), *[F.sum(F.least(F.length("_text"), F.lit(t))).alias(f"t{t}") for t in tops]).collect()
+    found = usable.groupBy("_lang").agg(F.count("*").alias("n"), *[F.sum(F.least(F.length("_text"), F.lit(t))).alias(f"t{t}") for t in tops]).orderBy(F.desc("n"), "_lang").limit(max_langs).collect()
+    found = [r.asDict() | {"_lang": str(r["_lang"])} for r in found]
     counts = {r["_lang"]: r["n"] for r in found}
     if not counts:
         return LanguageModel({})
     part = {r["_lang"]: min(1.0, docs_per_lang / r["n"]) for r in found}
     top = {r["_lang"]: next((t for t in tops if r[f"t{t}"] * part[r["_lang"]] >= 4 * DICT_BYTES), tops[-1]) for r in found}
-    share, take = (F.coalesce(*[F.when(F.col("_lang") == lang, F.lit(v)) for lang, v in x.items()]) for x in ({k: int((1 << 30) * v) for k, v in part.items()}, top))
-    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share).select("_id", "_lang", F.substring(_turned(F.col("_text"), F.col("_id"), passage), F.lit(1), take).alias("_text"), F.xxhash64("_id").alias("_h"))
+    plan = docs.sparkSession.createDataFrame([(k, int((1 << 30) * v), top[k]) for k, v in part.items()], "_lang string, _share long, _take int")
+    usable = usable.withColumn("_lang", F.col("_lang").cast("string")).join(F.broadcast(plan), "_lang")
+    taken = F.substring(_turned(F.col("_text"), F.col("_id"), passage), F.lit(1), F.col("_take"))
+    # rows that repeat an id and its text count once
+    picked = usable.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < F.col("_share")).select("_id", "_lang", taken.alias("_text"), F.xxhash64("_id").alias("_h")).distinct()
     own: dict[str, list] = {}
     for r in sorted(picked.collect(), key=lambda r: (r["_lang"], r["_h"], str(r["_id"]), r["_text"])):
         own.setdefault(r["_lang"], []).append(_plain(r["_text"]))
@@ -172,7 +185,7 @@ def train(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang",
     halves = [LanguageModel(_dictionaries({k: v[i::2] for k, v in own.items() if len(v) > 1})) for i in (1, 0)]
     clean = {}
     for lang, texts in own.items():
-        good = [t for i, t in enumerate(texts) if len(texts) < 8 or halves[i % 2].classify(t.decode(errors="ignore")[:passage])[0] == lang]
+        good = [t for i, t in enumerate(texts) if len(texts) < FEW or halves[i % 2].classify(t.decode(errors="ignore"))[0] == lang]
         clean[lang] = good if 2 * len(good) >= len(texts) else texts
     return LanguageModel(_dictionaries(clean), counts)
 

@@ -7,6 +7,8 @@ A line's key is the line without white space at its ends, A-Z lower-cased, as a
 * ``filters`` (shard, filter): a cuckoo filter of the shard's shared keys, those found in at least ``min_docs``
   documents. Shards are ranges of the hash, so many that a filter has some ten thousand keys at any input size.
 
+A shard's filter has room for ``shard_keys`` keys; an index that outgrows this gets more shards from the exact table.
+
 ``insert`` and ``delete`` take documents in and out: reference counts change by the documents' own postings, and keys
 that cross the threshold are put into, or removed from, their shard's filter, so deleting what was inserted restores
 the index. Applying the index probes the filters first (broadcast while they are small, which is checked; beyond that
@@ -148,19 +150,23 @@ def _shard(n_shards: int):
 class LineIndex:
     """See the module. Instances are values: ``insert`` and ``delete`` return another index."""
 
-    def __init__(self, postings: DataFrame, refs: DataFrame, filters: DataFrame, n_shards: int, min_docs: int, min_chars: int):
+    def __init__(self, postings: DataFrame, refs: DataFrame, filters: DataFrame, n_shards: int, min_docs: int, min_chars: int, shard_keys: int, n_keys: int):
         self.postings, self.refs, self.filters = postings, refs, filters
-        self.n_shards, self.min_docs, self.min_chars = n_shards, min_docs, min_chars
+        self.n_shards, self.min_docs, self.min_chars, self.shard_keys, self.n_keys = n_shards, min_docs, min_chars, shard_keys, n_keys
 
     @classmethod
     def build(cls, docs: DataFrame, *, id_col="doc_id", text_col="text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS) -> LineIndex:
         postings = common.checkpointed(_postings(docs, id_col, text_col, min_chars))
-        refs = postings.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper"))
+        return cls._of(postings, postings.groupBy("hi", "lo").agg(F.count("*").alias("n_docs"), F.max("id").alias("keeper")), min_docs, min_chars, shard_keys)
+
+    @classmethod
+    def _of(cls, postings: DataFrame, refs: DataFrame, min_docs: int, min_chars: int, shard_keys: int) -> LineIndex:
         shared = common.checkpointed(refs.where(F.col("n_docs") >= min_docs))
-        n_shards = 1 << max(0, math.ceil(math.log2(max(1, shared.count()) / shard_keys)))
-        ship(docs.sparkSession)
-        filters = common.checkpointed(shared.select(_shard(n_shards).alias("shard"), "hi").groupBy("shard").applyInArrow(_new_filter, "shard int, filter binary"))
-        out = cls(postings, refs, filters, n_shards, min_docs, min_chars)
+        n_keys = shared.count()
+        n_shards = 1 << max(0, math.ceil(math.log2(max(1, n_keys) / shard_keys)))
+        ship(postings.sparkSession)
+        filters = common.checkpointed(shared.select(_shard(n_shards).alias("shard"), "hi").groupBy("shard").applyInArrow(lambda k, t: _new_filter(k, t, shard_keys), "shard int, filter binary"))
+        out = cls(postings, refs, filters, n_shards, min_docs, min_chars, shard_keys, n_keys)
         out._shared = shared
         return out
 
@@ -174,8 +180,13 @@ class LineIndex:
         new = refs.where(F.col("n_docs") >= self.min_docs).select("hi", "lo", F.lit(1).alias("way"))
         moves = old.unionByName(new).groupBy("hi", "lo").agg(F.sum("way").alias("way")).where("way <> 0").select(_shard(self.n_shards).alias("shard"), "hi", "way")
         ship(postings.sparkSession)
-        filters = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(_moved_filter, "shard int, filter binary")
-        return LineIndex(postings, refs, common.checkpointed(filters), self.n_shards, self.min_docs, self.min_chars)
+        moves = common.checkpointed(moves)
+        held = self.n_keys + (moves.agg(F.sum("way")).first()[0] or 0)
+        if held > self.shard_keys * self.n_shards:  # grown beyond its room: more shards, made from the exact table
+            return LineIndex._of(postings, refs, self.min_docs, self.min_chars, self.shard_keys)
+        room = self.shard_keys
+        filters = self.filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(lambda k, a, b: _moved_filter(k, a, b, room), "shard int, filter binary")
+        return LineIndex(postings, refs, common.checkpointed(filters), self.n_shards, self.min_docs, self.min_chars, self.shard_keys, held)
 
     def insert(self, docs: DataFrame, *, id_col="doc_id", text_col="text") -> LineIndex:
         """The index with more documents (lines of an id that it has already are added to that document)."""
@@ -233,28 +244,31 @@ def _filter_hash(hi) -> np.ndarray:
     return tk.mix(np.asarray(hi, np.int64).view(np.uint64).copy())
 
 
-def _new_filter(key, table):
+def _new_filter(key, table, room: int):
     h = _filter_hash(table.column("hi"))
-    f = Cuckoo.sized(len(h))
+    f = Cuckoo.sized(max(room, len(h)))
     f.insert(h)
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
 
 
-def _moved_filter(key, old, moves):
+def _moved_filter(key, old, moves, room: int):
     h, way = _filter_hash(moves.column("hi")), np.asarray(moves.column("way"))
-    f = Cuckoo.load(old.column("filter")[0].as_py()) if old.num_rows else Cuckoo.sized(max(64, len(h)))
+    f = Cuckoo.load(old.column("filter")[0].as_py()) if old.num_rows else Cuckoo.sized(max(room, len(h)))
     f.delete(h[way < 0])
     f.insert(h[way > 0])
     return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "filter": pa.array([f.dump()], pa.binary())})
 
 
-def apply(docs: DataFrame, index: LineIndex, *, id_col="doc_id", text_col="text") -> DataFrame:
-    """All columns of ``docs``, and ``kept_text``, ``n_lines`` (before dropping) and ``n_dropped``; columns that have
-    these names already are replaced. Names that begin with ``_ls_`` are reserved."""
-    docs = docs.drop("kept_text", "n_lines", "n_dropped")
-    drops = index.drops().select(F.col("id").alias("_ls_drop_id"), F.col("keys").alias("_ls_keys"))
-    joined = docs.join(drops.hint("shuffle_hash"), docs[id_col] == F.col("_ls_drop_id"), "left").drop("_ls_drop_id")
+def apply(docs: DataFrame, index: LineIndex, *, id_col="doc_id", text_col="text", kept_col="kept_text", lines_col="n_lines", dropped_col="n_dropped") -> DataFrame:
+    """All columns of ``docs``, and the kept text, the number of lines before dropping and the number of lines dropped,
+    under the names given; columns that have these names already are replaced. ``_ls_`` begins reserved names.
+
+    Only documents that lose a line meet their keys by a shuffle. The others, null ids included, pass where they were
+    read while the ids that lose lines can be broadcast (counted first); beyond that null ids still stay aside."""
+    docs = docs.drop(kept_col, lines_col, dropped_col)
+    drops = common.checkpointed(index.drops().select(F.col("id").alias("_ls_drop_id"), F.col("keys").alias("_ls_keys")))
     min_chars = index.min_chars
+    text_at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
@@ -264,23 +278,29 @@ def apply(docs: DataFrame, index: LineIndex, *, id_col="doc_id", text_col="text"
             raw = np.column_stack([np.asarray(inner.field(0)), np.asarray(inner.field(1))]).astype("<i8").tobytes()
             size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).tolist()
             at = 0
-            for text, k in zip(batch.column(batch.schema.get_field_index(text_col)), size):
+            for text, k in zip(batch.column(text_at), size):
                 text = text.as_py() or ""
-                if k:
-                    lost = {raw[i : i + 16] for i in range(at, at + 16 * k, 16)}
-                    at += 16 * k
-                    ls = text.split("\n")
-                    rest = [line for line, key in zip(ls, keys(ls, min_chars)) if key not in lost]
-                    kept.append("\n".join(rest))
-                    n.append(len(ls))
-                    d.append(len(ls) - len(rest))
-                else:
-                    kept.append(text)
-                    n.append(text.count("\n") + 1)
-                    d.append(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[*batch.schema.names[:-1], "kept_text", "n_lines", "n_dropped"])
+                lost = {raw[i : i + 16] for i in range(at, at + 16 * k, 16)}
+                at += 16 * k
+                ls = text.split("\n")
+                rest = [line for line, key in zip(ls, keys(ls, min_chars)) if key not in lost]
+                kept.append("\n".join(rest))
+                n.append(len(ls))
+                d.append(len(ls) - len(rest))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(kept, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names=[*batch.schema.names[:-1], kept_col, lines_col, dropped_col])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return map_arrow(joined, run, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(kept_col, T.StringType()), T.StructField(lines_col, T.LongType()), T.StructField(dropped_col, T.LongType())])
+    own = F.col("_ls_text")
+    whole = lambda df: df.withColumn("_ls_text", F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).select(
+        *[F.col(f"`{c}`") for c in docs.columns], own.alias(kept_col), (F.length(own) - F.length(F.replace(own, F.lit("\n"))) + 1).cast("long").alias(lines_col), F.lit(0).cast("long").alias(dropped_col)
+    )
+    same = docs[id_col] == F.col("_ls_drop_id")
+    if drops.count() * 64 <= common.BROADCAST_LIMIT:
+        ids = F.broadcast(drops.select("_ls_drop_id"))
+        changed = docs.join(ids, same, "left_semi").join(drops.hint("shuffle_hash"), same).drop("_ls_drop_id")
+        return map_arrow(changed, run, schema).unionByName(whole(docs.join(ids, same, "left_anti")))
+    named = docs.where(F.col(f"`{id_col}`").isNotNull())
+    met = named.join(drops.hint("shuffle_hash"), named[id_col] == F.col("_ls_drop_id"), "left").drop("_ls_drop_id")
+    return map_arrow(met, run, schema).unionByName(whole(docs.where(F.col(f"`{id_col}`").isNull())))

@@ -110,28 +110,39 @@ def with_evidence(docs: DataFrame, model: Evidence, site: Column, *, text_col="t
     return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField("_ls_ratio", T.DoubleType())]))
 
 
-def _strength(spread: float | None, noise: float | None, weight: float | None) -> float:
-    """Prior strength from the observed spread of group rates around their parent's and the part that chance explains."""
-    between = max((spread or 0.0) - (noise or 0.0), 1e-6 * (weight or 1)) / (weight or 1)
-    return min(max(0.25 / between, 2.0), 1e4)
+def _strength(spread: float | None, chance: float | None, room: float | None, variance: float) -> float:
+    """Prior strength of Beta-binomial rates by the method of moments: variance / between - 1.
 
+    ``spread`` is the sum of squared deviations of group rates from their parents', weighted by group size, ``chance`` the
+    part of it that chance explains, ``room`` what a between-group variance of 1 would add, ``variance`` the mean of
+    rate * (1 - rate). Kept from 2 to 10,000, so that groups that differ by no more than chance are shrunk firmly."""
+    between = ((spread or 0.0) - (chance or 0.0)) / room if room else 0.0
+    return min(max(variance / between - 1, 2.0), 1e4) if between > 0 else 1e4
 
-def site_rates(scored: DataFrame) -> DataFrame:
-    """For each path: its own and its host's counts, the global rate and the strengths, from ``with_evidence`` rows.
 
-    The global rate and the two strengths are three numbers that the driver reads from grouped sums."""
+def site_rates(scored: DataFrame) -> DataFrame:
+    """For each path (``_ls_path``): its own and its host's counts, the global rate and the strengths, from
+    ``with_evidence`` rows. The global rate and the two strengths are three numbers that the driver reads from grouped sums."""
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_ls_ratio")))
-    paths = scored.groupBy("_ls_host", "_ls_path").agg(F.count("*").alias("n_path"), F.sum(p).alias("k_path"))
+    paths = scored.groupBy("_ls_host", "_ls_path").agg(F.count("*").alias("_ls_n_path"), F.sum(p).alias("_ls_k_path"))
     paths = common.checkpointed(paths)
-    hosts = common.checkpointed(paths.groupBy("_ls_host").agg(F.sum("n_path").alias("n_host"), F.sum("k_path").alias("k_host")))
-    all_ = hosts.agg(F.sum("n_host").alias("n"), F.sum("k_host").alias("k")).first()
+    hosts = paths.groupBy("_ls_host").agg(
+        F.sum("_ls_n_path").alias("_ls_n_host"), F.sum("_ls_k_path").alias("_ls_k_host"), F.count("*").alias("_ls_g"), F.sum(F.pow(F.col("_ls_n_path").cast("double"), 2)).alias("_ls_sq")
+    )
+    hosts = common.checkpointed(hosts)
+    all_ = hosts.agg(F.sum("_ls_n_host").alias("n"), F.sum("_ls_k_host").alias("k"), F.count("*").alias("g"), F.sum(F.pow(F.col("_ls_n_host").cast("double"), 2)).alias("sq")).first()
     n, rate = all_["n"] or 0, ((all_["k"] or 0.0) + 1) / ((all_["n"] or 0) + 2)
-    off = hosts.agg(F.sum(F.col("n_host") * F.pow(F.col("k_host") / F.col("n_host") - rate, 2)).alias("s"), F.count("*").alias("g")).first()
-    host_strength = _strength(off["s"], off["g"] * rate * (1 - rate), n)
-    joined = paths.join(hosts, "_ls_host").withColumn("_r", F.col("k_host") / F.col("n_host"))
-    off = joined.agg(F.sum(F.col("n_path") * F.pow(F.col("k_path") / F.col("n_path") - F.col("_r"), 2)).alias("s"), F.sum(F.col("_r") * (1 - F.col("_r"))).alias("e")).first()
-    path_strength = _strength(off["s"], off["e"], n)
-    return joined.drop("_r", "_ls_host").select("*", F.lit(rate).alias("rate"), F.lit(host_strength).alias("host_strength"), F.lit(path_strength).alias("path_strength"))
+    own = F.col("_ls_k_host") / F.col("_ls_n_host")
+    off = hosts.agg(
+        F.sum(F.col("_ls_n_host") * F.pow(own - rate, 2)).alias("s"), F.sum(F.col("_ls_n_host") * own * (1 - own)).alias("v"),
+        F.sum((F.col("_ls_g") - 1) * own * (1 - own)).alias("e"), F.sum(F.col("_ls_n_host") - F.col("_ls_sq") / F.col("_ls_n_host")).alias("room"),
+    ).first()
+    host_strength = _strength(off["s"], (all_["g"] - 1) * rate * (1 - rate), n - all_["sq"] / n if n else 0, rate * (1 - rate))
+    joined = paths.join(hosts, "_ls_host").withColumn("_r", F.col("_ls_k_host") / F.col("_ls_n_host"))
+    spread = joined.agg(F.sum(F.col("_ls_n_path") * F.pow(F.col("_ls_k_path") / F.col("_ls_n_path") - F.col("_r"), 2)).alias("s")).first()["s"]
+    path_strength = _strength(spread, off["e"], off["room"], (off["v"] or 0.0) / n if n else 0.25)
+    joined = joined.select("_ls_path", "_ls_n_path", "_ls_k_path", "_ls_n_host", "_ls_k_host")
+    return joined.select("*", F.lit(rate).alias("_ls_rate"), F.lit(host_strength).alias("_ls_host_strength"), F.lit(path_strength).alias("_ls_path_strength"))
 
 
 def judged(docs: DataFrame, model: Evidence, site: Column, *, text_col="text", threshold: float = THRESHOLD) -> DataFrame:
@@ -143,8 +154,8 @@ def judged(docs: DataFrame, model: Evidence, site: Column, *, text_col="text", t
     c = F.col
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-c("_ls_ratio")))
     # the document's own part is taken out of both levels
-    host = (c("k_host") - p + c("host_strength") * c("rate")) / (c("n_host") - 1 + c("host_strength"))
-    path = (c("k_path") - p + c("path_strength") * c("_ls_host_rate")) / (c("n_path") - 1 + c("path_strength"))
+    host = (c("_ls_k_host") - p + c("_ls_host_strength") * c("_ls_rate")) / (c("_ls_n_host") - 1 + c("_ls_host_strength"))
+    path = (c("_ls_k_path") - p + c("_ls_path_strength") * c("_ls_host_rate")) / (c("_ls_n_path") - 1 + c("_ls_path_strength"))
     logit = lambda x: F.log(x / (1 - x))
     bounded = lambda x, b: F.least(F.greatest(x, F.lit(-b)), F.lit(b))
     clip = lambda x: F.least(F.greatest(x, F.lit(1e-6)), F.lit(1 - 1e-6))
@@ -152,7 +163,7 @@ def judged(docs: DataFrame, model: Evidence, site: Column, *, text_col="text", t
     out = out.withColumn("_ls_host_rate", clip(host)).withColumn("_ls_path_rate", clip(path))
     z = c("_ls_ratio") + bounded(logit(c("_ls_path_rate")), MOST_SITE)
     out = out.withColumn("_ls_score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).withColumn("_ls_kept", c("_ls_score") >= threshold)
-    return out.drop("n_path", "k_path", "n_host", "k_host", "rate", "host_strength", "path_strength")
+    return out.drop("_ls_n_path", "_ls_k_path", "_ls_n_host", "_ls_k_host", "_ls_rate", "_ls_host_strength", "_ls_path_strength")
 
 
 def kept(docs: DataFrame, model: Evidence, site: Column, **kw) -> DataFrame:

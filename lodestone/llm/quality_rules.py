@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then a hashed word and character n-gram logistic regression.
 
 The model is trained on a bounded sample of labelled rows (``max_train`` of them, expected), calibrated on a part of
-the sample that the fit didn't see, and applied to Arrow batches of whole texts against a fixed threshold.
+the sample that the fit didn't see (on the fitted rows where that part, a fifth, lacks a class), and applied to Arrow batches of whole texts against a fixed threshold.
 
 Defined results: a null or empty text has no words, counts of 0 and fails the base rules; repeated rows are scored
 each on their own; an empty table gives an empty result; without usable labels of both classes every document that

@@ -3,7 +3,8 @@
 Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; besides each word its first four and
 first five code points count as word forms, so that inflected forms share evidence. Features: words, word forms, pairs of neighbours
 and pairs that skip one word, each present or absent. Per-coordinate rates and an L1 penalty leave a sparse weight
-vector, of which only the non-zero part is sent to the executors.
+vector, of which only the non-zero part is sent to the executors. Scores are calibrated (slope and offset) on scores of
+rows that the scoring model didn't learn from, and left as they are where a part of the sample lacks a class.
 
 Learning uses a bounded sample (``max_train`` rows, expected) of the labelled rows that are not held out. Defined
 results: a null or empty text gets the offset's probability; repeated rows are scored each on their own; an empty
@@ -26,6 +27,8 @@ from . import textkernel as tk
 BITS = 22
 FORMS = (4, 5)
 MAX_TRAIN = 8192
+#: Parts of the sample of which each is scored by a model fitted to the others, for calibration.
+FOLDS = 5
 #: Bytes between words: ASCII that is neither a digit nor a letter.
 BETWEEN = tk.table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -95,12 +98,15 @@ class ToxicityModel:
         return self.__dict__ | {"_dense": None}
 
     def score(self, col) -> np.ndarray:
+        idx, _, at = _grams(col)
+        return common.sigmoid(self.slope * self.sums(at, idx) + self.shift)
+
+    def sums(self, at: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        """Uncalibrated log-odds of rows of features."""
         if self._dense is None:
             self._dense = np.zeros(1 << BITS, np.float32)
             self._dense[self.idx] = self.weight
-        idx, _, at = _grams(col)
-        z = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), self._dense[idx], len(at) - 1) + self.offset
-        return common.sigmoid(self.slope * z + self.shift)
+        return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), self._dense[idx], len(at) - 1) + self.offset
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
@@ -110,7 +116,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     if len(y) == 0 or y.min() == y.max():
         rate = (y.sum() + 1) / (len(y) + 2)
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
-    return ToxicityModel(*ftrl(y, at, idx))
+    part = np.arange(len(y)) % FOLDS
+    z = np.zeros(len(y))
+    if all(len(np.unique(y[part != k])) == 2 for k in range(FOLDS)):
+        for k in range(FOLDS):  # every row's score comes from a model that didn't learn from it
+            fit = np.flatnonzero(part != k)
+            own = np.concatenate(([0], np.cumsum(at[fit + 1] - at[fit])))
+            z[part == k] = ToxicityModel(*ftrl(y[fit], own, idx[np.concatenate([np.arange(at[j], at[j + 1]) for j in fit])])).sums(at, idx)[part == k]
+        slope, shift = common.platt(z, y)
+    else:
+        slope, shift = 1.0, 0.0
+    return ToxicityModel(*ftrl(y, at, idx), slope, shift) if slope > 0 else ToxicityModel(*ftrl(y, at, idx))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", text_col="text") -> DataFrame:
