@@ -4,7 +4,7 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; be
 first five code points count as word forms, so that inflected forms share evidence. Features: words, word forms, pairs of neighbours
 and pairs that skip one word, each present or absent. Per-coordinate rates and an L1 penalty leave a sparse weight
 vector, of which only the non-zero part is sent to the executors. Scores are calibrated (slope and offset) on scores of
-rows that the scoring model didn't learn from, and left as they are where a part of the sample lacks a class.
+a quarter of the sample by a model that learned from the rest, and left as they are where one of the two lacks a class.
 
 Learning uses a bounded sample (``max_train`` rows, expected) of the labelled rows that are not held out. Defined
 results: a null or empty text gets the offset's probability; repeated rows are scored each on their own; an empty
@@ -27,8 +27,8 @@ from . import textkernel as tk
 BITS = 22
 FORMS = (4, 5)
 MAX_TRAIN = 8192
-#: Parts of the sample of which each is scored by a model fitted to the others, for calibration.
-FOLDS = 5
+#: One row of the sample in so many is scored by a model that didn't learn from it, for calibration.
+HELD = 4
 #: Bytes between words: ASCII that is neither a digit nor a letter.
 BETWEEN = tk.table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -62,8 +62,9 @@ def _grams(col):
     return idx, np.ones(len(idx), np.float32), at
 
 
-def ftrl(y, at, idx, *, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=4) -> tuple[np.ndarray, np.ndarray, float]:
-    """Indexes and weights that aren't zero, and the offset, after ``epochs`` passes in a fixed order."""
+def ftrl(y, at, idx, rows=None, *, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=4) -> tuple[np.ndarray, np.ndarray, float]:
+    """Indexes and weights that aren't zero, and the offset, after ``epochs`` passes over the given rows in a fixed order."""
+    rows = np.arange(len(y)) if rows is None else rows
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = 0.0
     rng = np.random.default_rng(11)
@@ -72,7 +73,7 @@ def ftrl(y, at, idx, *, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=4) -> tuple[
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
     for _ in range(epochs):
-        for j in rng.permutation(len(y)):
+        for j in rng.permutation(rows):
             x = idx[at[j] : at[j + 1]]
             w = weight(z[x], n[x])
             wb = -zb / ((beta + np.sqrt(nb)) / alpha)
@@ -109,6 +110,33 @@ class ToxicityModel:
         return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), self._dense[idx], len(at) - 1) + self.offset
 
 
+def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
+    """Fit on at most about ``max_train`` labelled rows that aren't held out."""
+    sample = common.labelled_sample(labels, id_col, label_col, max_train, keep=lambda c: ~held_out(c))
+    y, at, idx, _ = common.csr(common.sparse_rows(sample, docs, id_col, text_col, _grams))
+    if len(y) == 0 or y.min() == y.max():
+        rate = (y.sum() + 1) / (len(y) + 2)
+        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
+    held = np.arange(len(y)) % HELD == 0
+    slope, shift = 1.0, 0.0
+    if len(np.unique(y[held])) == 2 and len(np.unique(y[~held])) == 2:
+        z = ToxicityModel(*ftrl(y, at, idx, np.flatnonzero(~held))).sums(at, idx)
+        slope, shift = common.platt(z[held], y[held])
+    return ToxicityModel(*ftrl(y, at, idx), *((slope, shift) if slope > 0 else ()))
+
+
+def score(self, col) -> np.ndarray:
+        idx, _, at = _grams(col)
+        return common.sigmoid(self.slope * self.sums(at, idx) + self.shift)
+
+    def sums(self, at: np.ndarray, idx: np.ndarray) -> np.ndarray:
+        """Uncalibrated log-odds of rows of features."""
+        if self._dense is None:
+            self._dense = np.zeros(1 << BITS, np.float32)
+            self._dense[self.idx] = self.weight
+        return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), self._dense[idx], len(at) - 1) + self.offset
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
     """Fit on at most about ``max_train`` labelled rows that aren't held out."""
     sample = common.labelled_sample(labels, id_col, label_col, max_train, keep=lambda c: ~held_out(c))
