@@ -125,38 +125,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
     return ToxicityModel(*ftrl(y, at, idx), *((slope, shift) if slope > 0 else ()))
 
 
-def score(self, col) -> np.ndarray:
-        idx, _, at = _grams(col)
-        return common.sigmoid(self.slope * self.sums(at, idx) + self.shift)
-
-    def sums(self, at: np.ndarray, idx: np.ndarray) -> np.ndarray:
-        """Uncalibrated log-odds of rows of features."""
-        if self._dense is None:
-            self._dense = np.zeros(1 << BITS, np.float32)
-            self._dense[self.idx] = self.weight
-        return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), self._dense[idx], len(at) - 1) + self.offset
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text", label_col="toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
-    """Fit on at most about ``max_train`` labelled rows that aren't held out."""
-    sample = common.labelled_sample(labels, id_col, label_col, max_train, keep=lambda c: ~held_out(c))
-    y, at, idx, _ = common.csr(common.sparse_rows(sample, docs, id_col, text_col, _grams))
-    if len(y) == 0 or y.min() == y.max():
-        rate = (y.sum() + 1) / (len(y) + 2)
-        return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
-    part = np.arange(len(y)) % FOLDS
-    z = np.zeros(len(y))
-    if all(len(np.unique(y[part != k])) == 2 for k in range(FOLDS)):
-        for k in range(FOLDS):  # every row's score comes from a model that didn't learn from it
-            fit = np.flatnonzero(part != k)
-            own = np.concatenate(([0], np.cumsum(at[fit + 1] - at[fit])))
-            z[part == k] = ToxicityModel(*ftrl(y[fit], own, idx[np.concatenate([np.arange(at[j], at[j + 1]) for j in fit])])).sums(at, idx)[part == k]
-        slope, shift = common.platt(z, y)
-    else:
-        slope, shift = 1.0, 0.0
-    return ToxicityModel(*ftrl(y, at, idx), slope, shift) if slope > 0 else ToxicityModel(*ftrl(y, at, idx))
-
-
 def score(docs: DataFrame, model: ToxicityModel, *, id_col="doc_id", text_col="text") -> DataFrame:
     """Probability of label 1 of every document, and the label at 0.5."""
     rows = docs.select(id_col, text_col)
