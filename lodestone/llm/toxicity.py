@@ -4,7 +4,8 @@ Words are lower-cased (A-Z) runs of letters, digits and non-ASCII characters; be
 first five code points count as word forms, so that inflected forms share evidence. Features: words, word forms, pairs of neighbours
 and pairs that skip one word, each present or absent. Per-coordinate rates and an L1 penalty leave a sparse weight
 vector, of which only the non-zero part is sent to the executors. Scores are calibrated (slope and offset) on scores of
-a quarter of the sample by a model that learned from the rest, and left as they are where one of the two lacks a class.
+a quarter of the sample by a model that learned from the rest, and left as they are where that quarter has
+fewer than ``ENOUGH`` rows of a class.
 
 Learning uses a bounded sample (``max_train`` rows, expected) of the labelled rows that are not held out. Defined
 results: a null or empty text gets the offset's probability; repeated rows are scored each on their own; an empty
@@ -29,6 +30,8 @@ FORMS = (4, 5)
 MAX_TRAIN = 8192
 #: One row of the sample in so many is scored by a model that didn't learn from it, for calibration.
 HELD = 4
+#: Rows of either class that a calibration needs: two numbers fitted to fewer would mostly fit their noise.
+ENOUGH = 50
 #: Bytes between words: ASCII that is neither a digit nor a letter.
 BETWEEN = tk.table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
@@ -119,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col="doc_id", text_col="text
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(rate / (1 - rate))))
     held = np.arange(len(y)) % HELD == 0
     slope, shift = 1.0, 0.0
-    if len(np.unique(y[held])) == 2 and len(np.unique(y[~held])) == 2:
+    if min(y[held].sum(), (1 - y[held]).sum()) >= ENOUGH and len(np.unique(y[~held])) == 2:
         z = ToxicityModel(*ftrl(y, at, idx, np.flatnonzero(~held))).sums(at, idx)
         slope, shift = common.platt(z[held], y[held])
     return ToxicityModel(*ftrl(y, at, idx), *((slope, shift) if slope > 0 else ()))

@@ -174,11 +174,22 @@ def test_quality_classifier(spark):
         paths[r["_ls_path"]].append(p(r["_ls_ratio"]))
     n = len(got)
     rate = (sum(map(sum, hosts.values())) + 1) / (n + 2)
-    strength = lambda spread, noise: min(max(0.25 / (max(spread - noise, 1e-6 * n) / n), 2), 1e4)
-    hs = strength(sum(len(v) * (np.mean(v) - rate) ** 2 for v in hosts.values()), len(hosts) * rate * (1 - rate))
+    # method of moments for Beta-binomial groups: variance within the parent over variance between groups, less one
+    def strength(groups, parent_of, variance):
+        parents = collections.defaultdict(list)
+        for k, v in groups.items():
+            parents[parent_of(k)].append(v)
+        mean = {h: rate if h == "all" else sum(map(sum, vs)) / sum(map(len, vs)) for h, vs in parents.items()}
+        spread = sum(len(v) * (np.mean(v) - mean[parent_of(k)]) ** 2 for k, v in groups.items())
+        chance = sum((len(vs) - 1) * mean[h] * (1 - mean[h]) for h, vs in parents.items())
+        room = sum(sum(map(len, vs)) - sum(len(v) ** 2 for v in vs) / sum(map(len, vs)) for vs in parents.values())
+        between = (spread - chance) / room if room else 0
+        return float(np.clip(variance / between - 1, 2, 1e4)) if between > 0 else 1e4
+
+    hs = strength(hosts, lambda k: "all", rate * (1 - rate))
     host_of = {r["_ls_path"]: r["_ls_host"] for r in got}
     hr = {h: np.mean(v) for h, v in hosts.items()}
-    ps = strength(sum(len(v) * (np.mean(v) - hr[host_of[k]]) ** 2 for k, v in paths.items()), sum(hr[host_of[k]] * (1 - hr[host_of[k]]) for k in paths))
+    ps = strength(paths, host_of.get, sum(len(v) * np.mean(v) * (1 - np.mean(v)) for v in hosts.values()) / n)
     for r in got:
         own = p(r["_ls_ratio"])
         h = (sum(hosts[r["_ls_host"]]) - own + hs * rate) / (len(hosts[r["_ls_host"]]) - 1 + hs)
@@ -189,9 +200,67 @@ def test_quality_classifier(spark):
     assert quality_classifier.kept(fx.empty(spark), model, site).count() == 0
 
 
+def test_site_strength_is_that_of_the_draw():
+    """Groups drawn from Beta distributions of a known strength give that strength back."""
+    g = np.random.default_rng(8)
+    for rate, strength in ((0.5, 10), (0.1, 30), (0.8, 5)):
+        n = g.integers(200, 400, 3000)
+        k = g.binomial(n, g.beta(rate * strength, (1 - rate) * strength, len(n)))
+        r = k.sum() / n.sum()
+        got = quality_classifier._strength((n * (k / n - r) ** 2).sum(), (len(n) - 1) * r * (1 - r), n.sum() - (n**2).sum() / n.sum(), r * (1 - r))
+        assert abs(got / strength - 1) < 0.15, (rate, strength, got)
+    assert quality_classifier._strength(0.0, 1.0, 10.0, 0.25) == 1e4 and quality_classifier._strength(None, None, None, 0.25) == 1e4
+
+
+def test_a_sites_rate_turns_a_verdict(spark):
+    """The same text with weak evidence is kept on a good host and rejected on a bad one; on a site of one document it
+    gets what the global rate says."""
+    good, bad = [(i, f"plain words number {i} " * 20, "good.example/a") for i in range(60)], [(100 + i, "### " * 40 + f"x{i}", "bad.example/a") for i in range(60)]
+    model = quality_classifier.Evidence(np.zeros(14), np.ones(14), np.array([0, 0, 0, -20.0] + [0] * 10), 4.0, 0.0)
+    text = next(t for t in ("word " * k + "# " * 8 for k in range(30, 400)) if abs(model.ratio(quality_classifier.features(pa.array([t])))[0]) < 0.3)
+    rows = [*good, *bad, (500, text, "good.example/a"), (501, text, "bad.example/a"), (502, text, "new.example/b")]
+    df = spark.createDataFrame([(i, t, s, 1) for i, t, s in rows], "doc_id long, text string, site string, rate int")
+    got = {r["doc_id"]: r for r in quality_classifier.judged(df, model, F.col("site")).collect()}
+    assert got[500]["_ls_kept"] and not got[501]["_ls_kept"]
+    assert got[501]["_ls_score"] < got[502]["_ls_score"] < got[500]["_ls_score"]
+    assert {r["rate"] for r in got.values()} == {1} and quality_classifier.kept(df, model, F.col("site")).columns == df.columns
+
+
 # --- 4 toxicity
 
 
+def ftrl_brute(rows, alpha=1.0, beta=1.0, l1=4.0, l2=1.0, epochs=4):
+    """FTRL-proximal one coordinate at a time, over dictionaries."""
+    import math
+
+    z, n, zb, nb = collections.defaultdict(float), collections.defaultdict(float), 0.0, 0.0
+    rng = np.random.default_rng(11)
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(epochs):
+        for j in rng.permutation(np.arange(len(rows))):
+            y, x = rows[j]
+            own = {i: w(i) for i in x}
+            wb = -zb / ((beta + math.sqrt(nb)) / alpha)
+            g = 1 / (1 + math.exp(-(sum(own.values()) + wb))) - y
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * own[i]
+                n[i] += g * g
+            zb += g - (math.sqrt(nb + g * g) - math.sqrt(nb)) / alpha * wb
+            nb += g * g
+    return {i: w(i) for i in z if w(i)}, -zb / ((beta + math.sqrt(nb)) / alpha)
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    g = random.Random(12)
+    rows = [(int(i % 3 == 0), sorted(set(g.sample(range(50), 12)) | ({60, 61} if i % 3 == 0 else {70}))) for i in range(120)]
+    at = np.concatenate(([0], np.cumsum([len(x) for _, x in rows])))
+    idx, weight, offset = toxicity.ftrl(np.array([float(y) for y, _ in rows]), at, np.array([i for _, x in rows for i in x], np.int32))
+    want, want_offset = ftrl_brute(rows)
+    assert dict(zip(idx.tolist(), weight)).keys() == want.keys() and abs(offset - want_offset) < 1e-9
+    assert all(abs(w - want[i]) < 1e-5 for i, w in zip(idx.tolist(), weight))
+
+
+
 def test_toxicity(spark, sf):
     g = random.Random(4)
     words, bad = [f"word{i}" for i in range(200)], ["idiot", "moron", "scum"]
