@@ -150,17 +150,20 @@ def _stream(name: str) -> tuple[Callable, Callable]:
 
 
 def _unzstd(data: bytes) -> bytes:
-    out, at = [], 0
+    out, at, view = [], 0, memoryview(data)
     while at < len(data):
         magic = int.from_bytes(data[at : at + 4], "little")
         if 0x184D2A50 <= magic <= 0x184D2A5F:  # a frame to skip
             at += 8 + int.from_bytes(data[at + 4 : at + 8], "little")
             continue
         d = zstandard.ZstdDecompressor(max_window_size=1 << 27).decompressobj()
-        out.append(d.decompress(data[at:]))
-        if not d.eof:
-            raise Corrupted("zstd frame ends early")
-        at = len(data) - len(d.unused_data)
+        while not d.eof:  # in steps, so that what follows a frame isn't copied whole
+            if at >= len(data):
+                raise Corrupted("zstd frame ends early")
+            step = view[at : at + (1 << 17)]
+            out.append(d.decompress(step))
+            at += len(step)
+        at -= len(d.unused_data)
     return b"".join(out)
 
 

@@ -31,6 +31,14 @@ def safe_path(name: Column) -> Column:
 
 
 def numbered(path: Column, n: Column, pattern: str = "_%d") -> Column:
-    """The path with a suffix before its extension for the second and later copies."""
-    stem, ext = F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(path, r"^(.*?)(\.[^./]*)?$", 2)
+    """The path with a suffix before its extension for the second and later copies. A dot that begins a file's name
+    begins no extension."""
+    ext = F.regexp_extract(path, r"(?s)^.*[^/](\.[^./]*)$", 1)
+    stem = F.substr(path, F.lit(1), F.length(path) - F.length(ext))
     return F.when(n <= 1, path).otherwise(F.concat(stem, F.format_string(pattern, n), ext))
+
+
+def with_number(path: str, suffix: str) -> str:
+    """A path with a suffix before its extension, as ``numbered`` puts it."""
+    dot, slash = path.rfind("."), path.rfind("/")
+    return path[:dot] + suffix + path[dot:] if dot > slash + 1 else path + suffix

@@ -118,7 +118,10 @@ def _rar4(d, o):
         _, kind, flags, size = struct.unpack_from("<HBHH", d, p)
         if size < 7 or not 0x72 <= kind <= 0x7B:
             return None
-        p += size + (struct.unpack_from("<I", d, p + 7)[0] if flags & 0x8000 or kind == 0x74 else 0)
+        more = struct.unpack_from("<I", d, p + 7)[0] if (flags & 0x8000 or kind == 0x74) and p + 11 <= len(d) else 0
+        if kind in (0x74, 0x7A) and flags & 0x100 and p + 36 <= len(d):  # the sizes' high halves follow the attributes
+            more += struct.unpack_from("<I", d, p + 32)[0] << 32
+        p += size + more
         if kind == 0x7B:
             return p - o
     return MORE
@@ -191,13 +194,23 @@ def _ole(d, o):
     size = 1 << struct.unpack_from("<H", d, o + 30)[0]
     if size not in (512, 4096):
         return None
-    last, n = 0, struct.unpack_from("<I", d, o + 44)[0]
-    for i, s in enumerate(struct.unpack_from(f"<{min(n, 109)}I", d, o + 76)):
+    n = struct.unpack_from("<I", d, o + 44)[0]
+    sectors, more = list(struct.unpack_from("<109I", d, o + 76)), struct.unpack_from("<I", d, o + 68)[0]
+    seen = set()
+    while len(sectors) < n and more < 0xFFFFFFFA and more not in seen:  # further places of FAT sectors, in a chain
+        seen.add(more)
+        at = o + (more + 1) * size
+        if at + size > len(d):
+            return MORE
+        *own, more = struct.unpack_from(f"<{size // 4}I", d, at)
+        sectors += own
+    last = max(seen, default=0)
+    for i, s in enumerate(sectors[:n]):
         at = o + (s + 1) * size
         if s >= 0xFFFFFFFA or at + size > len(d):
             return MORE
         fat = struct.unpack_from(f"<{size // 4}I", d, at)
-        last = max([last, *(i * size // 4 + j for j, x in enumerate(fat) if x != 0xFFFFFFFF)])
+        last = max([last, *(i * (size // 4) + j for j, x in enumerate(fat) if x != 0xFFFFFFFF)])
     return (last + 2) * size
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
 import re
 import struct
@@ -30,7 +31,7 @@ def zip_files(data: bytes):
     """Local headers, wherever they stand: the central directory isn't needed."""
     marks = [m.start() for m in re.finditer(b"PK\x03\x04", data)]
     ends = [m.start() for m in re.finditer(b"PK\x01\x02|PK\x05\x06", data)]
-    skip = 0
+    skip, view, bounds = 0, memoryview(data), sorted({*marks, *ends, len(data)})
     for o in marks:
         if o < skip or o + 30 > len(data):
             continue
@@ -38,9 +39,9 @@ def zip_files(data: bytes):
         if o + 30 + n > len(data) or not n:
             continue
         name, start = _name(data[o + 30 : o + 30 + n]), o + 30 + n + m
-        later = min([x for x in (*marks, *ends) if x > o] or [len(data)])
+        later = bounds[min(bisect.bisect_right(bounds, o), len(bounds) - 1)]
         known = not flags & 8
-        raw = data[start : start + packed] if known else data[start:]
+        raw = view[start : start + packed] if known else view[start:]
         if name.endswith("/"):
             continue
         if flags & 1:
@@ -51,6 +52,7 @@ def zip_files(data: bytes):
             try:
                 for i in range(0, len(raw), 4096):
                     out += d.decompress(raw[i : i + 4096])
+                    fed = min(i + 4096, len(raw))
                     if d.eof:
                         break
             except zlib.error as e:
@@ -61,17 +63,17 @@ def zip_files(data: bytes):
                 continue
             body = bytes(out)
             if not known:
-                used = len(raw) - len(d.unused_data)
+                used = fed - len(d.unused_data)
                 tail = data[start + used : start + used + 16]
                 crc = struct.unpack_from("<I", tail, 4 if tail[:4] == b"PK\x07\x08" else 0)[0] if len(tail) >= 8 else None
         elif method == 0:
-            body = raw if known else data[start:later]
+            body = bytes(raw) if known else data[start:later]
             if known and len(body) < packed:
                 yield name, "PARTIAL" if body else "LOST", body, plain, "data end early"
                 continue
         else:
             try:
-                body = inflate(method, raw if known else data[start:later], plain)
+                body = inflate(method, bytes(raw) if known else data[start:later], plain)
             except ArchiveError as e:
                 yield name, "LOST", b"", plain if known else None, str(e)
                 continue
@@ -159,25 +161,41 @@ def _sum_fits(h: bytes) -> bool:
 
 def bzip2_blocks(data: bytes):
     """Blocks that still decode, found at any bit by their 48-bit mark, each in a stream of its own."""
-    bits = int.from_bytes(data, "big")
-    total = len(data) * 8
-    text = bin(bits)[2:].zfill(total)
-    start, end = format(0x314159265359, "048b"), format(0x177245385090, "048b")
-    marks = [m.start() for m in re.finditer(f"(?={start}|{end})", text)]
+    start, end, total = 0x314159265359, 0x177245385090, len(data) * 8
+    marks = sorted({(at, mark) for mark in (start, end) for at in _bit_places(data, mark)})
     level = data[3:4] if data[:3] == b"BZh" else b"9"
-    for a, b in zip(marks, [*marks[1:], total]):
-        if not text.startswith(start, a):
+    for i, (a, mark) in enumerate(marks):
+        if mark != start:
             continue
-        body = text[a:b]
-        crc = body[48:80]
-        raw = body + end + crc
-        raw += "0" * (-len(raw) % 8)
+        b = marks[i + 1][0] if i + 1 < len(marks) else total
+        body = _bits(data, a, b)
+        crc = _bits(data, a + 48, min(a + 80, b))
+        raw = (body << 80 | end << 32 | crc) << (pad := -(b - a + 80) % 8)
         try:
-            yield bz2.decompress(b"BZh" + level + int(raw, 2).to_bytes(len(raw) // 8, "big"))
+            yield bz2.decompress(b"BZh" + level + raw.to_bytes((b - a + 80 + pad) // 8, "big"))
         except (OSError, ValueError, EOFError):
             yield None
 
 
+def _bits(data: bytes, a: int, b: int) -> int:
+    """The bits from a to b as a number."""
+    return int.from_bytes(data[a >> 3 : (b + 7) >> 3], "big") >> (-b % 8) & ((1 << (b - a)) - 1)
+
+
+def _bit_places(data: bytes, mark: int):
+    """Where a 48-bit mark stands, at any bit: its whole inner bytes are searched for each of the eight shifts, and the
+    bits on both sides compared."""
+    for shift in range(8):
+        inner = (mark if shift == 0 else mark >> (8 - shift)) & ((1 << 40) - 1)
+        needle, at = inner.to_bytes(5, "big"), 0
+        while (at := data.find(needle, at)) >= 0:
+            # the inner bytes begin shift bits after the mark's start where it isn't on a byte
+            a = 8 * at - (8 if shift == 0 else shift)
+            if a >= 0 and a + 48 <= 8 * len(data) and _bits(data, a, a + 48) == mark:
+                yield a
+            at += 1
+
+
 def recover_one(path: str, kind: str, data: bytes):
     """(name, status, content, expected size, message) of what can be had."""
     base = path.rsplit("/", 1)[-1]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import numbered
+from ..functions.paths import with_number
+from ..shipping import ship
 
 MAX_DEPTH = 64
 
@@ -17,10 +18,34 @@ def last_wins(entries: DataFrame, archive: str = "archive_path", path: str = "sa
 
 
 def suffixed(entries: DataFrame, archive: str = "archive_path", path: str = "safe_path", order: str = "entry_index", *, pattern: str = "_%d", ignore_case: bool = False) -> DataFrame:
-    """All entries, with ``unique_path``: the second and later copies of a path get a number before the extension."""
+    """All entries, with ``unique_path``: in archive order an entry keeps its path while that is free, else it gets the
+    first number from 2 on, before its extension, that gives a free one. ``order`` numbers an archive's entries.
+
+    Only archives in which a path repeats are looked at whole (names, no content), each in one task as an archive is."""
     key = F.lower(path) if ignore_case else F.col(path)
-    n = F.row_number().over(Window.partitionBy(archive, key).orderBy(order))
-    return entries.withColumn("_n", n).withColumn("unique_path", numbered(F.col(path), F.col("_n"), pattern)).drop("_n")
+    repeated = entries.groupBy(archive, key.alias("_k")).agg(F.count("*").alias("_n")).where("_n > 1").select(archive).distinct()
+    names = entries.select(archive, order, path).where(F.col(path).isNotNull()).join(repeated, archive, "left_semi")
+    fold = str.lower if ignore_case else str
+
+    def free(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order, kind="stable")
+        used, tried, out = set(), {}, []
+        for name in pdf[path]:
+            now, n = name, tried.get(name, 1)
+            while fold(now) in used:
+                n += 1
+                now = with_number(name, pattern % n)
+            used.add(fold(now))
+            tried[name] = n
+            out.append(now)
+        return pd.DataFrame({archive: pdf[archive], order: pdf[order], "_free": out})
+
+    ship(entries.sparkSession)
+    kinds = entries.select(archive, order).schema
+    named = names.groupBy(archive).applyInPandas(free, f"`{archive}` {kinds[archive].dataType.simpleString()}, `{order}` {kinds[order].dataType.simpleString()}, _free string")
+    return entries.join(named, [archive, order], "left").withColumn("unique_path", F.coalesce("_free", path)).drop("_free").select(*entries.columns, "unique_path")
 
 
 def running_limit(entries: DataFrame, size: Column, group: str, order: list, *, max_total: int, archive_size: Column | None = None, max_ratio: int = 0, ratio_threshold: int = 0) -> DataFrame:
@@ -41,7 +66,7 @@ def listing_with_files(listing: DataFrame, files: DataFrame, key: str) -> DataFr
 
 def golden_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Rows that only one side has, as sets, with ``side``."""
-    return expected.exceptAll(actual).distinct().withColumn("side", F.lit("expected")).unionByName(actual.exceptAll(expected).distinct().withColumn("side", F.lit("actual")))
+    return expected.subtract(actual).withColumn("side", F.lit("expected")).unionByName(actual.subtract(expected).withColumn("side", F.lit("actual")))
 
 
 def media_of(files: DataFrame, media: DataFrame, package: str = "package", seq: str = "sequence", last: str = "last_sequence", disk: str = "cabinet") -> DataFrame:

@@ -300,3 +300,65 @@ def test_pieces_are_written(spark, tmp_path):
     got = carve.split_to(files_df(spark, [("dir/f.bin", data)]), str(tmp_path)).collect()
     assert [r["file_name"] for r in got] == ["001_0x00000000.png", f"002_0x{len(PNG) + 16:08X}.gz"]
     assert (tmp_path / "f.bin.pieces" / "001_0x00000000.png").read_bytes() == PNG
+
+
+def test_suffixes_are_free_and_diffs_are_sets(spark):
+    rows = [("a.txt", 0), ("a_2.txt", 1), ("a.txt", 2), (".hidden", 3), (".hidden", 4), ("d/a.txt", 5), ("A.TXT", 6), ("a.txt", 7), (None, 8)]
+    df = spark.createDataFrame([("z", *r) for r in rows] + [("y", "a.txt", 0)], "archive_path string, safe_path string, entry_index long")
+    got = {(r["archive_path"], r["entry_index"]): r["unique_path"] for r in relational.suffixed(df).collect()}
+    assert [got["z", i] for i in range(9)] == ["a.txt", "a_2.txt", "a_3.txt", ".hidden", ".hidden_2", "d/a.txt", "A.TXT", "a_4.txt", None] and got["y", 0] == "a.txt"
+    folded = {r["entry_index"]: r["unique_path"] for r in relational.suffixed(df.where("archive_path = 'z'"), pattern=" (%d)", ignore_case=True).collect()}
+    assert folded[2] == "a (2).txt" and folded[6] == "A (3).TXT" and folded[7] == "a (4).txt"
+    x = spark.createDataFrame([("x",), ("x",), ("y",), ("w",), ("w",)], "k string")
+    y = spark.createDataFrame([("x",), ("y",), ("v",)], "k string")
+    assert sorted(tuple(r) for r in relational.golden_diff(x, y).collect()) == [("v", "actual"), ("w", "expected")]
+
+
+def test_carving_ole_by_its_chain_and_large_rar():
+    import struct
+
+    from lodestone.operators import carve
+
+    size, per = 512, 128
+    n_fat, own = 120, 127  # 109 places in the header, 11 in one further sector
+    sectors = [struct.pack("<128I", *[0xFFFFFFFD] * per) for _ in range(n_fat)]
+    used = n_fat + 1 + 50
+    table = [1] * used + [0xFFFFFFFF] * (n_fat * per - used)
+    sectors = [struct.pack("<128I", *table[i * per : (i + 1) * per]) for i in range(n_fat)]
+    chain = struct.pack("<128I", *range(109, n_fat), *[0xFFFFFFFF] * (own - 11), 0xFFFFFFFE)
+    head = bytearray(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1" + b"\0" * 504)
+    struct.pack_into("<H", head, 30, 9)
+    struct.pack_into("<I", head, 44, n_fat)
+    struct.pack_into("<II", head, 68, n_fat, 1)
+    struct.pack_into("<109I", head, 76, *range(109))
+    data = bytes(head) + b"".join(sectors) + chain + b"\1" * 50 * size + b"tail"
+    assert carve._ole(b"xx" + data, 2) == (used + 1) * size
+    entry = struct.pack("<HBHH", 0, 0x74, 0x8100, 40) + struct.pack("<II", 5, 5) + b"\0" * 17 + struct.pack("<I", 1) + b"\0" * 4
+    rar = b"Rar!\x1a\x07\0" + struct.pack("<HBHH", 0, 0x73, 0, 13) + b"\0" * 6 + entry
+    assert carve._rar4(rar, 0) == carve.MORE and len(entry) == 40  # the entry goes on for 4 GB
+
+
+def test_recovery_takes_time_in_proportion():
+    import bz2
+    import io
+    import random
+    import time
+    import zipfile
+
+    from lodestone.operators import recover
+
+    def zipped(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for i in range(n):
+                z.writestr(f"n{i}.txt", f"text {i}" * 5)
+        return out.getvalue()
+
+    began = time.time()
+    assert [x[1] for x in recover.zip_files(zipped(20_000))] == ["OK"] * 20_000 and time.time() - began < 10
+    text = bytes(random.Random(1).choices(b"abcdefgh \n", k=600_000))
+    packed = bytearray(bz2.compress(text, 1))
+    assert b"".join(recover.bzip2_blocks(bytes(packed))) == text
+    packed[len(packed) // 2] ^= 255
+    blocks = list(recover.bzip2_blocks(bytes(packed)))
+    assert blocks.count(None) == 1 and text.startswith(blocks[0]) and text.endswith(blocks[-1])
