@@ -4,16 +4,17 @@ import random
 
 from pyspark.sql import types as T
 
+EXTRA = ("id", "key", "n", "score", "kept_text", "n_dropped", "comp", "hi", "token", "row", "n_lines", "rate", "n_path", "k_path", "n_host", "k_host", "host_strength", "path_strength", "set", "sig", "salt", "w", "at", "span", "items", "best", "margin", "length", "offset", "moved", "a", "b", "keys", "rep")
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())]
     # names that operators use for their own columns
-    + [T.StructField(n, T.StringType()) for n in ("id", "key", "n", "score", "kept_text", "n_dropped", "comp", "hi", "token", "row")]
+    + [T.StructField(n, T.StringType()) for n in EXTRA]
 )
 
 
 def rows(texts):
     """(doc_id, text) pairs to full rows."""
-    return [(i, t, "en" if i is None or i % 3 else None, None if i is not None and i % 7 == 0 else f"src{(i or 0) % 3}", None if t is None else len(t), *["x"] * 10) for i, t in texts]
+    return [(i, t, "en" if i is None or i % 3 else None, None if i is not None and i % 7 == 0 else f"src{(i or 0) % 3}", None if t is None else len(t), *["x"] * len(EXTRA)) for i, t in texts]
 
 
 def frame(spark, texts):

@@ -309,6 +309,44 @@ def test_chat_merges_and_reads_back(spark):
 # --- 6 language
 
 
+def test_long_conversations_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("so <| many turns "), F.col("id")).alias("text"))
+        began = time.time()
+        made = chat.format_conversations(rows)
+        r = made.select(F.size(chat.turns_of(F.col("formatted"))).alias("n"), chat.loss_texts(F.col("formatted"), F.col("loss_mask")).alias("loss"), F.length("formatted").alias("chars"), F.aggregate("loss_mask", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("covered")).first()
+        assert r["n"] == n and r["loss"] == [f"so <| many turns {i}" for i in range(1, n, 2)] and r["chars"] == r["covered"]
+        return time.time() - began
+
+    took(1_000)
+    assert took(20_000) < 4 * took(10_000) + 2
+
+
+def test_letters_are_of_category_l():
+    model = language_id.LanguageModel({"a": b"some words of one language " * 50, "b": "einige Wörter einer Sprache ".encode() * 50})
+    assert [model.classify(t)[0] for t in ("½ ²", "①", "12_3", "", None)] == ["und"] * 5 and model.classify("words of one")[0] == "a"
+
+
+def test_language_against_plain_compression(spark, sf):
+    """With dictionaries of one size the choice is the smallest sum of pieces, compressed one by one."""
+    import zstandard
+
+    trained = language_id.train(spark.read.parquet(f"{sf}/documents.parquet")).dictionaries
+    model = language_id.LanguageModel({k: v[-min(map(len, trained.values())) :] for k, v in trained.items()})
+    names = list(model.dictionaries)
+    assert len(names) > 2 and len(set(model.steps)) == 1
+    for r in spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").orderBy("doc_id").limit(60).collect():
+        raw = f" {re.sub(r'[\W\d_]+', ' ', r['text'].lower()).strip()} ".encode()
+        sums = []
+        for name in names:
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(model.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sums.append(sum(len(c.compress(raw[i : i + language_id.PIECE])) for i in range(0, len(raw), language_id.PIECE)))
+        if language_id.has_letter(r["text"]):
+            assert model.classify(r["text"])[0] == names[int(np.argmin(sums))]
+
+
 def test_language_id(spark, sf):
     df = spark.read.parquet(f"{sf}/documents.parquet")
     model = language_id.train(df)
@@ -426,6 +464,20 @@ def test_blocks_of_broken_pages():
     assert len(b("<p>x" * 20_000)) == 20_000
 
 
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def took(n):
+        began = time.time()
+        got = html_extract.blocks("".join(f"<div class=c{i % 7}>t{i}" for i in range(n)) + "</p>" * n + "</div>" * n)
+        html_extract.encode([got])
+        assert [b[1] for b in got] == [f"t{i}" for i in range(n)]
+        return time.time() - began
+
+    took(1_000)
+    assert took(20_000) < 4 * took(10_000) + 1
+
+
 def test_blocks_after_embedded_elements():
     b = lambda h: [x[1] for x in html_extract.blocks(h)]
     article = "<article><p>one</p>{}<p>two</p></article><p>three</p>"
@@ -670,6 +722,19 @@ def test_contract_columns(spark, sf):
             assert queries.QUERIES[name](spark, sf).columns[: len(columns)] == columns
 
 
+def test_stages_return_extra_columns_as_they_were(spark, sf):
+    import corpus_pipeline as cp
+
+    df = fx.frame(spark, [*fx.awkward(3, 30), *[(400 + i, "one shared line of more than forty characters, said again\nown " + str(i)) for i in range(6)]])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        assert {r[c] for r in out.select(*fx.EXTRA).distinct().collect() for c in fx.EXTRA} <= {"x"}, name
+    assert cp.STAGES[-1][1](spark, df, sf).count() >= df.count()
+    dropped = {r["doc_id"]: r for r in cp.STAGES[1][1](spark, df, sf).collect()}
+    assert dropped[400]["text"] == "own 0" and dropped[400]["n_chars"] == 5 and "shared" in dropped[405]["text"]
+
+
 def test_pipeline(spark, sf, tmp_path):
     import corpus_pipeline as cp
 
