@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import common, stages
@@ -21,10 +19,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what stands between them is written to the shared folder."""
-    docs = common.read(spark, sf_dir, "documents")
-    base = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}_{name}")
-        docs = spark.read.parquet(f"{base}/{i}_{name}")
+    """All stages over ``documents``. What stands between two stages is written to the shared folder and dropped once the
+    next has been written; only the last such table stays, as the result reads it."""
+    docs, scratch = common.read(spark, sf_dir, "documents"), common.Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        made = scratch.keep(stage(spark, docs, sf_dir))
+        if hasattr(docs, "_scratch"):
+            scratch.drop(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
