@@ -214,7 +214,7 @@ def _first_patterns(size: np.ndarray, demand: np.ndarray, room: int) -> list[np.
     return out
 
 
-def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds: int = 20_000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds: int = 500) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Patterns over the classes in demand, how often the linear program uses each, and prices of all classes.
 
     Revised simplex on: minimise the number of sequences, each class covered. Starts from greedy patterns. No
