@@ -214,7 +214,18 @@ def _first_patterns(size: np.ndarray, demand: np.ndarray, room: int) -> list[np.
     return out
 
 
-def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds: int = 500) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def _triangular_inverse(upper: np.ndarray) -> np.ndarray:
+    """Inverse of an upper triangular matrix, from its last row up. LAPACK's threaded factorisation is avoided: in a
+    process that started Spark's JVM, its thread pool can wait for ever."""
+    out = np.zeros_like(upper)
+    for i in range(len(upper) - 1, -1, -1):
+        out[i] = -(upper[i, i + 1 :] @ out[i + 1 :])
+        out[i, i] += 1
+        out[i] /= upper[i, i]
+    return out
+
+
+def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds: int = 2000) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Patterns over the classes in demand, how often the linear program uses each, and prices of all classes.
 
     Revised simplex on: minimise the number of sequences, each class covered. Starts from greedy patterns. No
@@ -230,7 +241,7 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds:
     n = len(classes)
     shaken = d + np.random.default_rng(1).uniform(1e-5, 2e-5, n) * max(1.0, d.max(initial=1.0))
     columns = _first_patterns(classes + 1, shaken, room)
-    inverse = np.linalg.inv(np.column_stack(columns).astype(float)) if n else np.zeros((0, 0))
+    inverse = _triangular_inverse(np.column_stack(columns).astype(float)) if n else np.zeros((0, 0))
     size = np.arange(1, len(demand) + 1)
     first = [np.where(size > room - t, 1.0, np.where(size >= t, size / room, 0.0)) for t in range(room // 2 + 1)]
     best = max(first, key=lambda price: float(price @ demand))
@@ -265,8 +276,8 @@ def column_generation(demand: np.ndarray, room: int, gap: float = 5e-4, rounds:
         inverse[out] = pivot
         columns[out] = column
         pivots += 1
-        if pivots % 512 == 0:  # against rounding that adds up
-            inverse = np.linalg.inv(np.column_stack(columns).astype(float))
+        if pivots % 64 == 0:  # a Newton step against rounding that adds up
+            inverse = 2 * inverse - inverse @ (np.column_stack(columns) @ inverse)
         x = np.maximum(inverse @ shaken, 0)
     else:
         warnings.warn(f"packing: the linear program stopped {need - bound:.2f} sequences above its bound of {bound:.2f}")

@@ -3,7 +3,10 @@
 import collections
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -694,6 +697,23 @@ def test_cutting_stock_is_near_the_bound():
         assert bound - 1e-6 <= sum(n for _, n in plan) <= bound + len(x) / 2 + 1
 
 
+def test_cutting_stock_beside_a_session():
+    """Hundreds of classes in a process that started Spark, where LAPACK's threads may not come back; in a process of
+    its own, as a wait inside the library can't be interrupted."""
+    demand = np.random.default_rng(5).integers(0, 40, 512)
+    code = "from pyspark.sql import SparkSession; SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+    code += f"import numpy as np; from lodestone.llm import packing\nplan = packing.cutting_stock(np.array({demand.tolist()}), 512)\n"
+    code += f"assert (sum(p * n for p, n in plan) == np.array({demand.tolist()})).all()"
+    root = str(Path(__file__).resolve().parents[2])
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=180)
+
+
+def test_triangular_inverse():
+    upper = np.triu(np.random.default_rng(6).integers(0, 3, (60, 60))).astype(float) + 4 * np.eye(60)
+    assert np.abs(packing._triangular_inverse(upper) @ upper - np.eye(60)).max() < 1e-8
+    assert packing._triangular_inverse(np.zeros((0, 0))).shape == (0, 0)
+
+
 def test_best_pattern_against_all():
     g = np.random.default_rng(4)
     for _ in range(20):
